@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from sievemill.llm.common import cut, documents, q, text_of
 
-#: Bits of the group hash that each level of refinement adds.
-LEVEL_BITS = 16
+#: Bits of the group hash that the first cells share, and that each level of refinement adds.
+FIRST_BITS, MORE_BITS = 16, 8
 #: About so many rows are numbered by one task.
 SLOT_ROWS = 50_000
 
@@ -65,6 +65,15 @@ def even_cuts(sizes: list[int], shards: int, capacity: int) -> list[int]:
     return out
 
 
+def _greedy(sums: list[int], shards: int, capacity: int) -> list[int]:
+    """Where a greedy pass of this capacity cuts, feasible or not."""
+    out, at = [], 0
+    for _ in range(shards - 1):
+        at = min(bisect_right(sums, sums[at] + capacity) - 1, len(sums) - 1)
+        out.append(at)
+    return out
+
+
 def _first_at_least(sums: list[int], value: int) -> int:
     k = bisect_right(sums, value)
     while k and sums[k - 1] >= value:
@@ -78,7 +87,8 @@ def shard_edges(groups: DataFrame, shards: int) -> list[int]:
     The atoms are groups in the order of their hash.  Atoms are first summed into cells of equal hash prefix, at
     most 2 ** LEVEL_BITS of them, so what comes to the driver doesn't grow with the input.  The capacity found
     over cells bounds the true one to within the largest cell; only cells in which a cut can fall for a capacity
-    within the bounds are then split by further bits, until these hold single groups.
+    within the bounds are then split by further bits, until these hold single groups: some dozens of cells for each
+    cut, so at most some hundred thousand finer ones at a time.
     """
     def level(bits: int, inside: DataFrame | None, parent_bits: int) -> list:
         prefix = F.shiftright("h", 64 - bits) if bits < 64 else F.col("h")
@@ -90,7 +100,7 @@ def shard_edges(groups: DataFrame, shards: int) -> list[int]:
         ).collect()
         return sorted((r["p"] << (64 - bits), 64 - bits, r["bytes"], r["largest"], r["n"]) for r in rows)
 
-    cells = level(LEVEL_BITS, None, 0)
+    cells = level(FIRST_BITS, None, 0)
     spark = groups.sparkSession
     while True:
         sizes = [c[2] for c in cells]
@@ -101,25 +111,20 @@ def shard_edges(groups: DataFrame, shards: int) -> list[int]:
         mixed = [k for k, c in enumerate(cells) if c[4] > 1 and c[1] > 0]
         slack = max([0] + [cells[k][2] for k in mixed])
         low = max([-(-sums[-1] // shards), high - slack, *(c[3] for c in cells)])
-        first, last = [0], [0]  # the cells in which cut k can fall: by even_cuts or for any capacity within the bounds
         even = even_cuts(sizes, shards, high)
-        active: set[int] = set()
+        active: set[int] = set()  # the cells in which a cut can fall: of the even ones, or for any capacity within the bounds
         for e in even:
             active.update(k for k in (e - 1, e, e + 1) if 0 <= k < len(cells))
-        for start in (low, high):
-            at = 0
-            for k in range(shards - 1):
-                at = min(bisect_right(sums, sums[at] + start) - 1, len(cells) - 1)
-                (first if start == low else last).append(at)
-        for a, b in zip(first, last, strict=True):
-            active.update(range(max(0, a - 1), min(len(cells), max(a, b) + 2)))
+        first, last = _greedy(sums, shards, low), _greedy(sums, shards, high)
+        for x, y in zip(first, last, strict=True):
+            active.update(range(max(0, x - 1), min(len(cells), max(x, y) + 2)))
         split = sorted(active.intersection(mixed))
         if not split:
             return [cells[k][0] if k < len(cells) else 1 << 63 for k in even]
         shift = max(cells[k][1] for k in split)
         chosen = [k for k in split if cells[k][1] == shift]
         inside = spark.createDataFrame([(cells[k][0] >> shift,) for k in chosen], "p long")
-        finer = level(64 - shift + LEVEL_BITS, inside, 64 - shift)
+        finer = level(64 - shift + MORE_BITS, inside, 64 - shift)
         gone = set(chosen)
         cells = sorted([c for k, c in enumerate(cells) if k not in gone] + finer)
 
