@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from sievemill.plans.lineage import cut, written
+
+__all__ = ["attach", "components", "cut", "documents", "map_texts", "q", "text_of", "written"]
+
 #: Bytes of text handed to an operator's function at once; one longer text is handed over alone.
 SLICE_BYTES = 4 << 20
 #: A key with more than rows / HOT_SHARE rows is hot, so there are fewer than HOT_SHARE hot keys.
@@ -31,35 +33,6 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(q(name)).cast("string"), F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor shares.
-
-    A folder of our own is set only where the session names none, as in tests on one machine.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if named is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(named)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def map_texts(
     df: DataFrame,
     fn: Callable[[list[str]], dict[str, list]],
