@@ -94,13 +94,20 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = L2, steps: int = 30) -> n
     return w
 
 
-def vocabulary_of(found: list[set[str]], toxic: np.ndarray) -> dict[str, int]:
+def vocabulary_of(texts: list[str], toxic: np.ndarray) -> dict[str, int]:
     """The MAX_WORDS words whose presence tells most about the label, by the signed root of G, of those in at least
-    MIN_DOCUMENTS documents; seed words always."""
+    MIN_DOCUMENTS documents; seed words always.  Words of toxic documents only are counted, a text at a time."""
     n1, n0 = max(1.0, toxic.sum()), max(1.0, (1 - toxic).sum())
-    one, zero = Counter(), Counter()
-    for ws, t in zip(found, toxic, strict=True):
-        (one if t else zero).update(ws)
+    one: Counter[str] = Counter()
+    for text, t in zip(texts, toxic, strict=True):
+        if t:
+            one.update(words(text))
+    zero = dict.fromkeys(one, 0)
+    for text, t in zip(texts, toxic, strict=True):
+        if not t:
+            for w in words(text):
+                if w in zero:
+                    zero[w] += 1
     score = {}
     for w, a in one.items():
         b = zero[w]
@@ -116,14 +123,13 @@ def vocabulary_of(found: list[set[str]], toxic: np.ndarray) -> dict[str, int]:
 def fit(texts: list[str], toxic: np.ndarray) -> Chain:
     """The chain.  In training, a later model sees out-of-fold probabilities of the earlier ones: those that models
     fitted without the row's fold give it, so it learns how far they can be trusted on new rows."""
-    found = [words(x) for x in texts]
-    vocabulary = vocabulary_of(found, toxic)
+    vocabulary = vocabulary_of(texts, toxic)
     x = presence(texts, vocabulary)
     fold = np.arange(len(texts)) % FOLDS
     weights = []
     for name in CHAIN:
-        seeds = set(CATEGORIES.get(name, ()))
-        y = np.array([float(t and (not seeds or bool(seeds & ws))) for t, ws in zip(toxic, found, strict=True)])
+        seeds = [vocabulary[w] for w in CATEGORIES.get(name, ())]
+        y = toxic * (x[:, seeds].any(1) if seeds else 1.0)
         out_of_fold = np.zeros(len(texts))
         for k in range(FOLDS):
             rest = fold != k
@@ -134,15 +140,18 @@ def fit(texts: list[str], toxic: np.ndarray) -> Chain:
 
 
 def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", limit: int = MAX_LABELLED) -> Chain:
-    """A chain fitted on at most `limit` labelled documents, those of the smallest hash of their id; each text once.
-    Rows whose crc32(id as text) mod 5 is 0 are left out, so they can measure it."""
+    """A chain fitted on at most `limit` labelled documents, those of the smallest hash of their id; each set of words
+    once.  Rows whose crc32(id as text) mod 5 is 0 are left out, so they can measure it."""
     sample = learnable(labelled, "toxic", id_col, limit)
     rows = docs.select(F.col(q(id_col)).alias("_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "_id")
     found = map_texts(
-        rows, lambda texts: {"words": [" ".join(sorted(words(x))) for x in texts]}, [T.StructField("words", T.StringType())], keep=["_id", "label"]
+        rows,
+        lambda texts: {"words": [" ".join(sorted(set(_WORD.findall(x.lower())))) for x in texts]},
+        [T.StructField("words", T.StringType())],
+        keep=["_id", "label"],
     )
-    got = found.orderBy("_id", "words").limit(2 * limit).collect()
-    once = {r["words"]: r["label"] for r in reversed(got)}
+    got = found.orderBy("_id", "words").limit(2 * limit)
+    once = {r["words"]: r["label"] for r in reversed(list(got.toLocalIterator()))}
     return fit(list(once), np.array(list(once.values()), dtype=np.float64))
 
 
