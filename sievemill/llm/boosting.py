@@ -94,7 +94,7 @@ class Trees:
 
 
 def fit(
-    values: np.ndarray, labels: np.ndarray, rounds: int = 80, depth: int = 4, rate: float = 0.15, leaf: int = 20, l2: float = 5.0
+    values: np.ndarray, labels: np.ndarray, rounds: int = 80, depth: int = 4, rate: float = 0.15, leaf: int = 20, l2: float = 1.0
 ) -> Trees:
     """Boosted trees for the logistic loss on features cut at quantiles into at most BINS bins.
 

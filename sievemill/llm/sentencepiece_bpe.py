@@ -226,7 +226,7 @@ class Bpe:
         ends = np.r_[0, total][np.cumsum([len(x) for x in ids])]
         out, at = [], 0
         for row, end in zip(ids, ends.tolist(), strict=True):
-            lead = row[row != self.bos][:1]
+            lead = row[(row != self.bos) & (row != self.eos)][:1]
             skip = int(len(lead) > 0 and bool(self.spaced[lead[0]]))
             out.append(data[at + skip : end].decode("utf-8", "sievemill_bytes"))
             at = end

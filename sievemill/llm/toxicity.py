@@ -156,13 +156,13 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", limit: i
 
 
 def score_toxicity(df: DataFrame, chain: Chain, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """df with a probability p_<category> for each category of the chain, and predicted_toxic (1 if the last is at
-    least the threshold, else 0), from the whole text.  Null texts count as empty; columns of these names are replaced."""
+    """df with a probability p_<category> for each category of the chain, and predicted_toxic (1 if one is at least
+    the threshold, as every category is toxic, else 0), from the whole text.  Null texts count as empty; columns of these names are replaced."""
     shared = df.sparkSession.sparkContext.broadcast(chain)
 
     def run(texts: list[str]) -> dict[str, list]:
         p = np.concatenate([shared.value.predict(texts[k : k + 512]) for k in range(0, len(texts), 512)])
-        return {f"p_{c}": p[:, k] for k, c in enumerate(CHAIN)} | {"predicted_toxic": (p[:, -1] >= threshold).astype(np.int32)}
+        return {f"p_{c}": p[:, k] for k, c in enumerate(CHAIN)} | {"predicted_toxic": (p.max(1) >= threshold).astype(np.int32)}
 
     added = [T.StructField(f"p_{c}", T.DoubleType()) for c in CHAIN] + [T.StructField("predicted_toxic", T.IntegerType())]
     return map_texts(df, run, added, text, keep)
