@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: Fixed value: the code points that Python counts as white space, as a Java regular expression class.
@@ -11,6 +13,11 @@ NOT_WS = WS.replace("[", "[^", 1)
 WORD = r"[\p{L}\p{N}_]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: Spark doesn't share subexpressions inside lambda functions."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WS}+|{WS}+\\z", "")
 
@@ -70,6 +77,9 @@ def packed(parts: Column, limit: int, joiner: str) -> Column:
 
 def counted(values: Column) -> Column:
     """(value, n) of the distinct values, in the order of their first occurrence."""
-    return F.transform(
-        F.array_distinct(values), lambda v: F.struct(v.alias("value"), F.size(F.filter(values, lambda x: x == v)).alias("n"))
+    return let(
+        values,
+        lambda every: F.transform(
+            F.array_distinct(every), lambda v: F.struct(v.alias("value"), F.size(F.filter(every, lambda x: x == v)).alias("n"))
+        ),
     )

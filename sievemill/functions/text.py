@@ -52,7 +52,7 @@ def normalize(text: Column) -> Column:
 
 def hits(lowered: Column, lexicon: tuple[str, ...]) -> Column:
     """The phrases of a lexicon that occur in a text in lower case."""
-    return F.filter(F.lit(list(lexicon)).cast("array<string>"), lambda t: F.contains(lowered, t))
+    return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(t)), F.lit(t)) for t in lexicon]))
 
 
 def char_count(text: Column) -> Column:

@@ -25,6 +25,7 @@ CODE = frozenset(("script", "style"))
 #: Attributes that can hide an element; the beginning of such an element's text is kept.
 HIDING = {"style", "hidden", "aria-hidden"}
 PREVIEW = 120
+#: Attribute values are kept without white space around, but for type and handlers.
 #: The attribute of an element that is resolved.
 TARGETS = {"a": "href", "link": "href", "form": "action", "img": "src", "iframe": "src", "embed": "src", "source": "src", "video": "src", "audio": "src", "script": "src", "object": "data"}
 
@@ -100,7 +101,8 @@ class _Builder(HTMLParser):
         self._flush()
         found = {}
         for name, value in attrs:
-            found[name] = " ".join((value or "").split()) if name in LISTS else value or ""
+            value = value or ""
+            found[name] = " ".join(value.split()) if name in LISTS else value if name == "type" or name.startswith("on") else value.strip()
         self.elements.append({"ix": len(self.elements), "parent": self.open[-1] if self.open else -1, "tag": tag, "attrs": found})
         self.open.append(len(self.elements) - 1)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 from sievemill.functions import urls
-from sievemill.functions.strings import WS, counted, strip
+from sievemill.functions.strings import WS, counted, let, strip
 from sievemill.functions.suffixes import NONE
 
 # Parts of names of payment fields, link relations that load ahead, and declarations that hide.
@@ -45,7 +45,7 @@ def raw(e: Column, name: str) -> Column:
 
 def attr(e: Column, name: str) -> Column:
     """An attribute without white space around; a missing one is empty."""
-    return F.coalesce(strip(raw(e, name)), F.lit(""))
+    return F.coalesce(strip(raw(e, name)) if name == "type" or name.startswith("on") else raw(e, name), F.lit(""))
 
 
 def first(values: Column, default: str = "") -> Column:
@@ -69,6 +69,19 @@ def skeleton(dom: Column, max_depth: int = 6, max_children: int = 10, max_lines:
     element has more than max_children children, a line after the last one shown says how many there are besides."""
     every = dom["elements"]
     shown = F.filter(every, lambda e: (e["depth"] >= 2) & (e["depth"] < max_depth + 2) & (e["chain"] < max_children))
+    outline = let(shown, lambda shown: _outline(dom, shown, max_children, max_lines))
+    has_html = F.exists(every, lambda e: e["depth"] == 1)
+    deepest = F.coalesce(F.array_max(F.transform(every, lambda e: e["depth"])), F.lit(0))
+    return F.struct(
+        F.size(every).alias("element_count"),
+        F.when(has_html, deepest).otherwise(F.greatest(deepest, F.lit(1))).alias("max_depth"),
+        counted(F.transform(every, lambda e: e["tag"])).alias("tag_counts"),
+        outline.alias("outline"),
+    )
+
+
+def _outline(dom: Column, shown: Column, max_children: int, max_lines: int) -> Column:
+    every = dom["elements"]
     indent = lambda depth: F.repeat(F.lit("  "), depth - 2)
     lines = F.transform(
         shown, lambda e: F.struct(e["ix"].alias("at"), F.lit(0).alias("late"), F.lit(0).alias("up"), F.concat(indent(e["depth"]), e["tag"]).alias("line"))
@@ -86,15 +99,7 @@ def skeleton(dom: Column, max_depth: int = 6, max_children: int = 10, max_lines:
             F.concat(indent(e["depth"]), F.lit("... (+"), (children_of(e) - max_children).cast("string"), F.lit(" more)")).alias("line"),
         ),
     )
-    outline = F.slice(F.transform(F.array_sort(F.concat(lines, more)), lambda x: x["line"]), 1, max_lines)
-    has_html = F.exists(every, lambda e: e["depth"] == 1)
-    deepest = F.coalesce(F.array_max(F.transform(every, lambda e: e["depth"])), F.lit(0))
-    return F.struct(
-        F.size(every).alias("element_count"),
-        F.when(has_html, deepest).otherwise(F.greatest(deepest, F.lit(1))).alias("max_depth"),
-        counted(F.transform(every, lambda e: e["tag"])).alias("tag_counts"),
-        F.array_join(outline, "\n").alias("outline"),
-    )
+    return F.array_join(F.slice(F.transform(F.array_sort(F.concat(lines, more)), lambda x: x["line"]), 1, max_lines), "\n")
 
 
 def field(e: Column) -> Column:
@@ -125,7 +130,9 @@ def forms(dom: Column, home: Column) -> Column:
     inputs = elements(dom, "input", "select", "textarea")
 
     def one(f: Column) -> Column:
-        fields = F.transform(F.filter(inputs, lambda e: (e["ix"] > f["ix"]) & (e["ix"] <= f["end"])), field)
+        return let(F.transform(F.filter(inputs, lambda e: (e["ix"] > f["ix"]) & (e["ix"] <= f["end"])), field), lambda fields: form(f, fields))
+
+    def form(f: Column, fields: Column) -> Column:
         return F.struct(
             attr(f, "action").alias("action"),
             f["url"].alias("action_url"),
@@ -163,8 +170,8 @@ def css(dom: Column, home: Column) -> Column:
     sheets = F.transform(found, lambda e: F.struct(attr(e, "href").alias("href"), *_ref(e, home)))
 
     def hiding(block: Column) -> Column:
-        text = _squeezed(block)
-        return sum((F.regexp_count(text, F.lit(p)) for p in list(DECLARATIONS.values())[1:]), F.regexp_count(text, F.lit(DECLARATIONS["display"])))
+        first, *others = DECLARATIONS.values()
+        return let(_squeezed(block), lambda text: sum((F.regexp_count(text, F.lit(p)) for p in others), F.regexp_count(text, F.lit(first))))
 
     return F.struct(
         F.size(F.filter(dom["elements"], lambda e: raw(e, "style").isNotNull())).alias("inline_style_count"),
@@ -178,7 +185,10 @@ def css(dom: Column, home: Column) -> Column:
 
 def technique(e: Column) -> Column:
     """How an element is hidden, or null: by the first of the inline style's ways, else by attribute."""
-    style = _squeezed(attr(e, "style"))
+    return let(_squeezed(attr(e, "style")), lambda style: _technique(e, style))
+
+
+def _technique(e: Column, style: Column) -> Column:
     zero = lambda side: style.rlike(rf"{side}:0(?:px)?{_STOP}")
     return (
         F.when(style.rlike(DECLARATIONS["display"]), "display:none")
@@ -258,7 +268,10 @@ def resources(dom: Column, home: Column) -> Column:
 
     parts = [of(*spec) for spec in RESOURCES]
     ahead = F.filter(elements(dom, "link"), lambda e: raw(e, "href").isNotNull() & F.arrays_overlap(_rels(e), F.lit(list(PRELOAD)).cast("array<string>")))
-    every = F.concat(*parts, F.transform(ahead, lambda e: F.struct(F.lit("preload").alias("kind"), *_ref(e, home))))
+    return let(F.concat(*parts, F.transform(ahead, lambda e: F.struct(F.lit("preload").alias("kind"), *_ref(e, home)))), _inventory)
+
+
+def _inventory(every: Column) -> Column:
     return F.struct(
         every.alias("resources"),
         counted(F.transform(every, lambda r: r["kind"])).alias("counts"),
@@ -281,23 +294,36 @@ def links(dom: Column, home: Column) -> Column:
             .otherwise("internal")
         )
 
-    sorted_out = F.transform(anchors, lambda e: F.struct(kind(e).alias("kind"), attr(e, "href").alias("href"), e["url"].alias("url"), e["domain"].alias("domain")))
+    every = F.transform(anchors, lambda e: F.struct(kind(e).alias("kind"), attr(e, "href").alias("href"), e["url"].alias("url"), e["domain"].alias("domain")))
+    return let(let(every, _buckets), _link_report)
+
+
+_BUCKETS: dict[str, Callable[[Column], Column]] = {
+    "internal": lambda x: x["url"],
+    "external": lambda x: x["url"],
+    "mailto": lambda x: F.substring_index(F.substring(x["href"], 8, 1 << 30), "?", 1),
+    "tel": lambda x: F.substring(x["href"], 5, 1 << 30),
+    "other": lambda x: x["href"],
+}
+
+
+def _buckets(anchors: Column) -> Column:
+    def of(name: str, value: Callable[[Column], Column]) -> Column:
+        return F.transform(F.filter(anchors, lambda x: x["kind"] == name), value)
+
+    return F.struct(
+        *[of(name, value).alias(name) for name, value in _BUCKETS.items()],
+        F.array_sort(F.array_distinct(of("external", lambda x: x["domain"]))).alias("external_domains"),
+    )
 
-    def bucket(name: str, value: Callable[[Column], Column]) -> Column:
-        return F.transform(F.filter(sorted_out, lambda x: x["kind"] == name), value)
 
-    found = {
-        "internal": bucket("internal", lambda x: x["url"]),
-        "external": bucket("external", lambda x: x["url"]),
-        "mailto": bucket("mailto", lambda x: F.substring_index(F.substring(x["href"], 8, 1 << 30), "?", 1)),
-        "tel": bucket("tel", lambda x: F.substring(x["href"], 5, 1 << 30)),
-        "other": bucket("other", lambda x: x["href"]),
-    }
+def _link_report(found: Column) -> Column:
     inner, outer = F.size(found["internal"]), F.size(found["external"])
+    sizes = {name: F.size(found[name]) for name in _BUCKETS}
     return F.struct(
-        *[c.alias(name) for name, c in found.items()],
-        F.array_sort(F.array_distinct(bucket("external", lambda x: x["domain"]))).alias("external_domains"),
-        F.struct(*[F.size(c).alias(name) for name, c in found.items()], F.size(anchors).alias("total")).alias("counts"),
+        *[found[name].alias(name) for name in _BUCKETS],
+        found["external_domains"].alias("external_domains"),
+        F.struct(*[c.alias(name) for name, c in sizes.items()], sum(list(sizes.values())[1:], sizes["internal"]).alias("total")).alias("counts"),
         F.when(inner + outer > 0, outer / (inner + outer)).otherwise(F.lit(0.0)).alias("outbound_ratio"),
     )
 

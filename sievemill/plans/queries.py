@@ -17,7 +17,7 @@ from sievemill.operators.dom import parse
 from sievemill.operators.pages import analyze_pages, with_home
 from sievemill.operators.payloads import payloads
 from sievemill.operators.site import rollup
-from sievemill.plans.lineage import new_path, written
+from sievemill.plans.lineage import new_path, spread, written
 from sievemill.sources import csv_urls, http
 from sievemill.sources.crawl import crawl, stored
 from sievemill.sources.jsonl import lines
@@ -43,7 +43,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _led(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,7 +321,7 @@ def payload_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT o_orderkey, 3 AS internal, (o_orderkey % 5 = 0)::INT AS external, (o_orderkey % 5 = 1)::INT AS mailto, (o_orderkey % 5 = 2)::INT AS tel,
        (o_orderkey % 5 >= 3)::INT AS other, 4 AS total, CASE WHEN o_orderkey % 5 = 0 THEN 'other.org' ELSE '' END AS external_domains,
-       CASE WHEN o_orderkey % 5 = 0 THEN 0.25 ELSE 0.0 END AS outbound_ratio FROM orders
+       CASE WHEN o_orderkey % 5 = 0 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS outbound_ratio FROM orders
 """)
 def synth_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ["https://a.other.org/x", "MAILTO:a@b.com?subject=x", "tel:+1555", "javascript:void(0)", "#top"]
