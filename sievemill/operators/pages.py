@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sievemill.functions import text, urls
+from sievemill.functions.suffixes import NONE
 from sievemill.operators import scripts, structure, texts
 from sievemill.operators.dom import parse
 
@@ -62,11 +63,11 @@ def with_home(pages: DataFrame, home: str | None = None, site: str | None = None
     if home is not None:
         return pages.withColumn("home_domain", F.lit(home))
     found = pages.withColumn("_domain", urls.domain(F.col("url")))
-    first = F.coalesce(F.min_by("_domain", F.struct(order, "url")), F.lit("None")).alias("home_domain")
-    named = found.where("_domain <> 'None'")
+    first = F.coalesce(F.min_by("_domain", F.struct(order, "url")), F.lit(NONE)).alias("home_domain")
+    named = found.where(F.col("_domain") != NONE)
     if site is None:
-        return pages.join(F.broadcast(named.agg(first)), F.lit(True))  # one row
-    return pages.join(named.groupBy(site).agg(first), site, "left").fillna("None", ["home_domain"])
+        return pages.withColumn("home_domain", F.lit(named.agg(first).first()["home_domain"]))
+    return pages.join(named.groupBy(site).agg(first), site, "left").fillna(NONE, ["home_domain"])
 
 
 def analyze_pages(pages: DataFrame) -> DataFrame:
