@@ -94,10 +94,11 @@ class Trees:
 
 
 def fit(
-    values: np.ndarray, labels: np.ndarray, rounds: int = 80, depth: int = 4, rate: float = 0.15, leaf: int = 20, l2: float = 1.0
+    values: np.ndarray, labels: np.ndarray, rounds: int = 80, depth: int = 4, rate: float = 0.15, leaf: int = 20, l2: float | None = None
 ) -> Trees:
     """Boosted trees for the logistic loss on features cut at quantiles into at most BINS bins.
 
+    l2: the shrinkage of leaves, by default a thousandth of the rows, from 1 to 5; few rows couldn't bear more.
     Without rows, or with labels of one kind, the score is a constant: the smoothed share of label 1.
     """
     n = len(labels)
@@ -107,6 +108,7 @@ def fit(
     if n < 2 or labels.min() == labels.max():
         return Trees(empty, empty, np.zeros(0), empty, np.zeros(0), depth, base)
     leaf = min(leaf, max(1, n // 20))
+    l2 = min(5.0, max(1.0, n / 1000)) if l2 is None else l2
     width = values.shape[1]
     edges = [np.unique(np.quantile(values[:, f], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for f in range(width)]
     binned = np.stack([np.searchsorted(edges[f], values[:, f], side="left") for f in range(width)], 1).astype(np.int64)
