@@ -7,7 +7,7 @@ from bisect import bisect_left, insort
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sievemill.llm.common import documents, q, text_of
+from sievemill.llm.common import cut, documents, q, text_of
 
 #: Permitted sequence lengths.
 LENGTHS = (256, 512, 1024, 2048, 4096)
@@ -72,11 +72,12 @@ def pack_documents(
     A document of more than the longest permitted length is cut into full pieces and a rest; no token is dropped.
     Pieces are dealt out evenly over groups of about `group` pieces, each packed on its own, so bins hold pieces
     of a group; no group can be large, whatever the ids.  A null or empty text has its end mark only; repeated rows
-    are packed as often as they come.  An empty table gives no rows; other columns are not read.
+    are packed as often as they come.  An empty table gives no rows; other columns are not read.  Texts are read
+    once: ids, token counts and row numbers are kept, so a task that runs again deals the same pieces to the same groups.
     """
     lengths = tuple(sorted(set(lengths)))
     longest = lengths[-1]
-    pieces = df.select(F.col(q(id_col)).alias("id"), token_count(text).alias("tokens"), F.monotonically_increasing_id().alias("row"))
+    pieces = cut(df.select(F.col(q(id_col)).alias("id"), token_count(text).alias("tokens"), F.monotonically_increasing_id().alias("row")))
     total = pieces.agg(F.sum(F.ceil(F.col("tokens") / longest))).first()[0] or 0
     groups = max(1, -(-int(total) // group))
     pieces = pieces.select(
