@@ -135,11 +135,14 @@ def assign_shards(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text:
     Rows of equal text stay together (a null text is as an empty one; its size is 16).  The largest shard is as
     small as any cut of the groups, ordered by hash, allows; within that bound the cuts are put where the shards are
     nearest to equal.  A group larger than an even share is a bound for its shard alone.  Slots run from 0
-    without gaps.  Repeated rows get a slot each; an empty table gives no rows; other columns aren't read.
+    without gaps.  Repeated rows get a slot each, and no task numbers all of them; an empty table gives no rows; other columns aren't read.
     """
     size = F.octet_length(text_of(text)).cast("long") + 16
     rows = cut(
-        df.select(F.col(q(id_col)).alias("id"), size.alias("size"), F.crc32(text_of(text)).alias("text_crc32"), F.xxhash64(text_of(text)).alias("h"))
+        df.select(
+            F.col(q(id_col)).alias("id"), size.alias("size"), F.crc32(text_of(text)).alias("text_crc32"), F.xxhash64(text_of(text)).alias("h"),
+            F.monotonically_increasing_id().alias("row"),
+        )
     )
     groups = cut(rows.groupBy("h").agg(F.sum("size").alias("bytes")))
     edges = shard_edges(groups, shards)
@@ -150,13 +153,13 @@ def assign_shards(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text:
     placed = rows.withColumn("shard", shard)
     count = rows.count()
     parts = max(4, -(-count // (shards * SLOT_ROWS)))
-    part = F.pmod(F.xxhash64("id", "h"), F.lit(parts)).cast("int")
+    part = F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
     placed = placed.withColumn("part", part)
     before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "part").count().select(
         "shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before")
     )
-    number = F.row_number().over(W.partitionBy("shard", "part").orderBy("id", "h"))
+    number = F.row_number().over(W.partitionBy("shard", "part").orderBy("id", "h", "row"))
     return placed.withColumn("k", number).join(offsets, ["shard", "part"]).select(
         F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("k") - 1 + F.col("before")).cast("long").alias("slot")
     )
