@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,26 +103,32 @@ class Index:
                     low = d
                     bands.append([d, d])
                 bands[-1][1] = d
+            size = len(self.words[template])
+            least = size if size < SHORT else MIN_COVERAGE * size
             for low, high in bands:
-                got = align(self.words[template], ids, low - BAND, high + BAND)
-                if got is None:
-                    continue
-                matched, first, last = got
-                size = len(self.words[template])
-                if matched < (size if size < SHORT else MIN_COVERAGE * size):
-                    continue
-                spots = spots or [m.span() for m in _TOKEN.finditer(text)]
-                found.append({"license": self.names[template], "coverage": matched / size, "words": matched, "start": spots[first][0], "end": spots[last][1]})
+                begin = max(0, low - BAND)
+                part = ids[begin : high + BAND + size + 1].copy()  # all words that the band can meet
+                while got := align(self.words[template], part, low - BAND - begin, high + BAND - begin):
+                    matched, first, last = got
+                    if matched < least:
+                        break
+                    spots = spots or [m.span() for m in _TOKEN.finditer(text)]
+                    span = {"start": spots[begin + first][0], "end": spots[begin + last][1]}
+                    found.append({"license": self.names[template], "coverage": matched / size, "words": matched} | span)
+                    part[first : last + 1] = 0  # the notice may stand in the band again
         return _largest(found)
 
 
 def _largest(found: list[dict]) -> list[dict]:
     """Of findings that overlap, the one with most matched words (ties: the higher coverage, then the first)."""
-    out: list[dict] = []
+    out: list[dict] = []  # in the order of the text
+    starts: list[int] = []
     for f in sorted(found, key=lambda f: (-f["words"], -f["coverage"], f["start"], f["license"])):
-        if all(f["end"] <= o["start"] or o["end"] <= f["start"] for o in out):
-            out.append(f)
-    return sorted(out, key=lambda f: f["start"])
+        k = bisect_left(starts, f["start"])
+        if (k == 0 or out[k - 1]["end"] <= f["start"]) and (k == len(out) or f["end"] <= out[k]["start"]):
+            starts.insert(k, f["start"])
+            out.insert(k, f)
+    return out
 
 
 def _codes(ids: np.ndarray, base: int) -> np.ndarray:

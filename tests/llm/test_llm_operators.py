@@ -329,6 +329,12 @@ def test_licenses(spark, docs, none):
     assert [[f["license"] for f in got[k]] for k in range(5)] == [["Apache-2.0"], [], ["MIT"], ["MIT", "CC-BY-NC-4.0"], ["CC-BY-4.0"]]
     assert texts[0][got[0][0]["start"] : got[0][0]["end"]] == "Licensed under the Apache License, Version 2.0"
     assert 0.9 < got[2][0]["coverage"] < 1 and texts[2][got[2][0]["start"] :].startswith("Permission is hereby")
+    index = licenses.build()
+    notice = licenses.TEMPLATES["MIT"][0]
+    for between in (" ", " x ", " x y z "):  # repeats within a band of each other
+        again = between.join([notice] * 7)
+        assert [(f["license"], again[f["start"] : f["end"]]) for f in index.find(again)] == [("MIT", notice[:-1])] * 7
+    assert len(index.find("\n".join([mit] * 3))) == 3
     assert all(r["licenses"] == [] for r in licenses.scan_licenses(docs).collect()) and licenses.scan_licenses(none).count() == 0
 
 
