@@ -18,18 +18,22 @@ MASK = "[SECRET]"
 #: Code points before and after a candidate in which neighbouring words are looked up.
 AROUND = 40
 
-#: Candidates.  A rule's group "v" is the value; without one the whole match is.
+#: Candidates.  A rule's group "v", "v1" or "v2" is the value; without one the whole match is.
 RULES = {
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,20}PRIVATE KEY-----)?",
+    "private_key": r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN)[\s\S])*?-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----)?",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "web_token": r"(?<![\w-])eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}",
     "prefixed": r"(?<![\w-])(?:gh[pousr]_|xox[abprs]-|sk_live_|glpat-)[\w-]{16,}",
-    "assigned": r"(?i:(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<v>[^\s\"'<>,;]{6,})",
+    "url_user": r"(?<=://)[^\s/:@\"'<>]{0,64}:(?P<v>[^\s/@\"'<>]{3,})@(?=[\w\[])",
+    "assigned": r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)s?(?:[_-]?(?:key|value|hash|string|base64))?)[\"']?\]?\s{0,3}(?::=|=>|[:=])\s{0,3}"
+    r"(?:\"(?P<v1>(?:[^\"\\\n]|\\.){6,})\"|'(?P<v2>(?:[^'\\\n]|\\.){6,})'|[\"']?(?P<v>[^\s\"'<>,;]{6,}))",
     "random": r"(?<![\w/+-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![\w/+-])",
 }
-_RULES = re.compile("|".join(f"(?P<{k}>{v.replace('(?P<v>', '(?P<value>')})" for k, v in RULES.items()))
+_VALUE = re.compile(r"\(\?P<(v[12]?)>")
+_RULES = re.compile("|".join(f"(?P<{k}>{_VALUE.sub(lambda m, k=k: f'(?P<{k}_{m[1]}>', v)})" for k, v in RULES.items()))
+_SPANS = {k: [f"{k}_{v}" for v in _VALUE.findall(r)] + [k] for k, r in RULES.items()}
 #: Only texts in which one of these occurs can have a candidate.
-_HINT = re.compile(r"(?i:passw|pwd|secret|token|key|credential)|[A-Za-z0-9+/_-]{18}")
+_HINT = re.compile(r"(?i:passw|pwd|secret|token|key|credential)|[A-Za-z0-9+/_-]{18}|://[^\s/:@\"'<>]{0,64}:[^\s/@\"'<>]{3,}@")
 
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "credential", "login")
 HASH_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "hash", "digest", "checksum", "etag", "uuid", "guid", "revision", "build", "id", "integrity")
@@ -107,7 +111,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     out = []
     for m in _RULES.finditer(text):
         rule = next(k for k in RULES if m.group(k) is not None)
-        out.append((rule, *m.span("value" if rule == "assigned" else rule)))
+        out.append((rule, *m.span(next(g for g in _SPANS[rule] if m.group(g) is not None))))
     return out
 
 
@@ -199,8 +203,13 @@ def labelled_findings(count: int = EXAMPLES, seed: int = SEED) -> list[tuple[str
     def uuid() -> str:
         return "-".join(chars(hexa, n) for n in (8, 4, 4, 4, 12))
 
-    name = lambda: pick(("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key"))
-    sep = lambda: pick(("=", " = ", ": ", ":"))
+    plain = lambda: pick(("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key"))
+    joined = lambda: pick(("db", "client", "access", "user", "admin", "smtp")) + pick(("Password", "Secret", "Token", "ApiKey", "_password", "_secret", "_token"))
+    name = lambda: pick((plain, plain, joined))()
+    sep = lambda: pick(("=", " = ", ": ", ":", " := ", " => "))
+    mixed = lambda: chars("!#%&*+,; ", 1) + chars(alnum, 3)
+    user = lambda: pick(("postgres", "https", "mysql", "redis", "amqp")) + "://" + pick(("app", "admin", "user", "root", "")) + ":"
+    body = lambda: "\n".join(chars(alnum + "+/", 64) for _ in range(int(rng.integers(1, 4))))
     secret = (
         lambda: ("", pick(("AKIA", "ASIA")) + chars(upper, 16), ""),
         lambda: (name() + sep(), chars(hexa, pick((16, 18, 20, 24, 32, 40))), ""),
@@ -212,6 +221,13 @@ def labelled_findings(count: int = EXAMPLES, seed: int = SEED) -> list[tuple[str
         lambda: ("", pick(("ghp_", "xoxb-", "glpat-", "sk_live_")) + chars(alnum, 36), ""),
         lambda: ("", "eyJ" + chars(alnum, 30) + "." + chars(alnum, 60) + "." + chars(alnum, 43), ""),
         lambda: ("", "-----BEGIN RSA PRIVATE KEY-----" + chars(alnum + "+/", 64) + "-----END RSA PRIVATE KEY-----", ""),
+        lambda: ("", "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + chars(hexa, 32) + "\n\n" + body() + "\n-----END RSA PRIVATE KEY-----", ""),
+        lambda: ("", "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2\n\n" + body() + "\n=" + chars(alnum, 4) + "\n-----END PGP PRIVATE KEY BLOCK-----", ""),
+        lambda: (name() + sep() + (quote := pick("\"'")), pick(DICTIONARY) + chars("0123456789", 1) + chars(alnum, 2) + pick("!#%&*") + chars("0123456789", 1), quote),
+        lambda: (name() + sep() + (quote := pick("\"'")), chars(alnum, pick((4, 6, 8))) + mixed() + mixed(), quote),
+        lambda: (name() + sep() + (quote := pick("\"'")), chars(pick((alnum, hexa)), pick((10, 12, 16))), quote),
+        lambda: (user(), chars(alnum, pick((8, 10, 12, 16))), "@" + word() + ".host"),
+        lambda: (user(), chars(alnum, 1).upper() + chars(alnum, pick((3, 5))) + chars("0123456789", 1) + chars(alnum, 3), "@host"),
     )
     other = (
         lambda: (pick(("commit ", "revision ", "sha1 ", "sha256: ", "md5 ", "checksum ", "digest ", "etag ", "")), chars(hexa, pick((32, 40, 64))), ""),
@@ -225,6 +241,9 @@ def labelled_findings(count: int = EXAMPLES, seed: int = SEED) -> list[tuple[str
         lambda: ("", "_".join(pick(DICTIONARY) for _ in range(4)) + chars("0123456789", 3), ""),
         lambda: (pick(("order ", "number ", "phone ", "")), chars("0123456789", pick((20, 22, 24))), ""),
         lambda: ("", word() + word() + word() + word() + word() + chars("0123456789", 2), ""),
+        lambda: (name() + sep() + '"', " ".join(word() for _ in range(int(rng.integers(3, 9)))) + pick((".", "!", "")), '"'),
+        lambda: (name() + sep() + (quote := pick("\"'")), pick(("changeme", "your_password_here", "xxxxxxxxxxxx", "********", "<password>", "${PASSWORD}", "placeholder", "test1234", "your-token")), quote),
+        lambda: (user(), pick(("password", "changeme", "example", "your_password", "${PASSWORD}", "********", "<pass>", "8080", "placeholder")), "@" + pick(("host", "localhost", "example.com"))),
     )
     out = []
     while len(out) < count:
