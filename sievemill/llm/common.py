@@ -17,6 +17,8 @@ __all__ = ["attach", "components", "cut", "documents", "map_texts", "q", "text_o
 SLICE_BYTES = 4 << 20
 #: A key with more than rows / HOT_SHARE rows is hot, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 2_000
+#: So few edges may meet in one task.
+FEW_EDGES = 50_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,40 +78,50 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int)
     """left join right on key, where right has a key once and weight says how many rows of left have it.
 
     Keys with over rows / HOT_SHARE rows are broadcast (there are fewer than HOT_SHARE of them); the others
-    are shuffled, and none of those is heavy.  Rows without a partner get nulls.  left is read twice.
+    are shuffled, and none of those is heavy.  Rows of left with a null key have no partner and don't move; rows
+    without a partner get nulls.  left is read three times.
     """
     limit = max(1_000, rows // HOT_SHARE)
     hot = right.where(F.col(weight) > limit)
     cold = right.where(F.col(weight) <= limit)
     keys = F.broadcast(hot.select(key))
-    return left.join(F.broadcast(hot), key, "inner").unionByName(
-        left.join(keys, key, "left_anti").join(cold, key, "left")
+    named = left.where(F.col(key).isNotNull())
+    found = named.join(F.broadcast(hot), key, "inner").unionByName(
+        named.join(keys, key, "left_anti").join(cold, key, "left")
     )
+    return found.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the edges: root is the smallest node that can be reached.
 
     Large-star and small-star steps in turn, each round kept by a checkpoint, until the edges stay the same.
-    Every step is an aggregation with partial sums and an equality join, whatever the shape of the graph.
+    Every step is an aggregation with partial sums and a join; of more than FEW_EDGES edges one by `attach`, so a node of
+    any degree, also the centre of a star, is spread over all tasks.
     """
+
+    def with_least(edges: DataFrame, key: str, least: DataFrame) -> DataFrame:
+        return attach(edges, cut(least), key, "n", total) if total > FEW_EDGES else edges.join(least, key)
+
     now = cut(
         edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct()
     )
-    seen = None
+    total, seen = now.count(), None
     while True:
         both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(now.select("hi", "lo"))
-        least = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("lo"), F.least("u", "v").alias("m"))
-        large = now.join(least, "lo").select("hi", F.col("m").alias("lo")).where("hi <> lo").distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        pairs = large.join(least, "hi").select(
+        least = both.groupBy("u").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n"))
+        least = least.select(F.col("u").alias("lo"), F.least("u", "v").alias("m"), "n")
+        large = with_least(now, "lo", least).select("hi", F.col("m").alias("lo")).where("hi <> lo").distinct()
+        large = cut(large) if total > FEW_EDGES else large
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
+        pairs = with_least(large, "hi", least).select(
             F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("e")
         )
         now = cut(pairs.select("e.hi", "e.lo").where("hi <> lo").distinct())
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break
-        seen = tuple(state)
+        total, seen = state[0], tuple(state)
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
         now.select("lo", "lo").distinct()
     )

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from sievemill.llm.common import attach, components, cut, documents, map_texts, q, text_of
 
 BITS, SEED = 64, 42
-#: Keys with up to so many fingerprints are compared pairwise; the fingerprints of others take the wildcard-pair route.
+#: Variants with up to so many fingerprints are compared pairwise; the fingerprints of others take the way of two bytes.
 BUCKET = 64
+#: So many fingerprints of one key are held at once.
+MOST = 1 << 16
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -45,58 +47,139 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = 3, keep: list[s
     )
 
 
-def variants(value: Column, max_bits: int) -> Column:
-    """The one-wildcard variants of each segment of a fingerprint, as (k1: segment and wildcard, k2: the rest).
-
-    Of max_bits differing bits spread over max_bits // 2 + 1 segments, one segment has at most one, so two
-    fingerprints that link have a variant in common: the one whose wildcard covers that bit.
-    """
-    count = max_bits // 2 + 1
-    edges = [BITS * k // count for k in range(count + 1)]
-    masks = []
-    for low, high in zip(edges, edges[1:], strict=False):
-        segment = ((1 << high) - 1) & ~((1 << low) - 1)
-        masks += [segment & ~(1 << bit) for bit in range(low, high)]
-    return F.explode(
-        F.array(*[F.struct(F.lit(k).cast("long").alias("k1"), value.bitwiseAND(F.lit(_signed(m))).alias("k2")) for k, m in enumerate(masks)])
-    )
+def _segments(max_bits: int) -> list[int]:
+    """The masks of max_bits // 2 + 1 equal segments: of max_bits differing bits, one segment has at most one."""
+    width = BITS // (max_bits // 2 + 1)
+    return [((1 << width) - 1) << low for low in range(0, BITS, width)]
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _close_pairs(max_bits: int, bucket: int):
-    """A function on Arrow batches of (k1, k2, value), sorted by key: gives the pairs (a, b) of close values that
-    share a key, and (a, null) for each value under a key of over `bucket` values.  It holds one batch and at
-    most one bucket, however many values a key has."""
+def _keyed(values: DataFrame, masks: list[int]) -> DataFrame:
+    """(k1: number of a mask, k2: the bits of the fingerprint under it, fingerprint), for each mask."""
+    value = F.col("fingerprint")
+    keys = F.array(*[F.struct(F.lit(k).cast("long").alias("k1"), value.bitwiseAND(F.lit(_signed(m))).alias("k2")) for k, m in enumerate(masks)])
+    return values.select(F.explode(keys).alias("k"), "fingerprint").select("k.k1", "k.k2", "fingerprint")
+
+
+def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the sorted codes the number of its run of equal codes and the size of that run."""
+    start = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, dtype=np.int64)
+    size = np.diff(np.r_[start, len(codes)])
+    return np.repeat(np.arange(len(size)), size), np.repeat(size, size)
+
+
+def _within(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places (k, j) of all pairs of the same run, a step of j - k at a time."""
+    step = 1
+    while len(same := np.flatnonzero(run[step:] == run[:-step])):
+        yield same, same + step
+        step += 1
+
+
+def _one_wildcard(max_bits: int, bucket: int):
+    """For whole keys (a byte left out of a segment, the segment's other bits): pairs by the one-wildcard variants of
+    that byte.  A pair is given only under the first variant that finds it.  Gives pairs and dense values, those of
+    variants that over `bucket` values have."""
+    segments = np.array(_segments(max_bits), dtype=np.uint64)
+    bytes_in = BITS // len(segments) // 8
+
+    def emit(k1: np.ndarray, run: np.ndarray, value: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        bits, pairs, dense = value.view(np.uint64), [], []
+        left_out = (bits >> (8 * k1).astype(np.uint64)) & np.uint64(255)
+        for wild in range(8):
+            code = run * 256 + (left_out & np.uint64(255 ^ (1 << wild))).astype(np.int64)
+            order = np.argsort(code, kind="stable")
+            sub, size = _runs(code[order])
+            dense.append(value[order[size > bucket]])
+            at = order[size <= bucket]
+            for k, j in _within(sub[size <= bucket]):
+                x, y, where = bits[at[k]], bits[at[j]], k1[at[k]]
+                differ, segment = x ^ y, where // bytes_in
+                own = differ & segments[segment]
+                first = (own == np.uint64(1) << (8 * where + wild).astype(np.uint64)) | ((own == 0) & (where % bytes_in == 0) & (wild == 0))
+                for s in range(len(segments) - 1):
+                    first &= (segment <= s) | (np.bitwise_count(differ & segments[s]) > 1)
+                near = first & (np.bitwise_count(differ) <= max_bits)
+                pairs.append(np.stack([x[near], y[near]]).view(np.int64))
+        return pairs, dense
+
+    return emit
+
+
+def _wildcard_pairs(max_bits: int, bucket: int):
+    """For whole keys (two bytes left out of a fingerprint, the other bits): the pairs, found once each.  Values of a
+    key differ in those bytes only, so a key has at most 65,536; the values of keys with over `bucket` are
+    compared under each choice of two wildcards among the 16 bits, where at most four agree."""
+    places = np.array(list(combinations(range(8), 2)), dtype=np.uint64)
+
+    def ends(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the lowest and the highest of one or two set bits; for one bit k, 0 and k (bit 0: 0 and 1)."""
+        low = x & (~x + np.uint64(1))
+        at = lambda b: np.bitwise_count(b - np.uint64(1)).astype(np.uint64)
+        rest = x ^ low
+        one = rest == 0
+        return np.where(one, 0, at(low)).astype(np.uint64), np.where(one, np.maximum(at(low), 1), at(np.maximum(rest, 1))).astype(np.uint64)
+
+    def emit(k1: np.ndarray, run: np.ndarray, value: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        bits, pairs = value.view(np.uint64), []
+        i, j = (np.uint64(8) * places[k1, k] for k in (0, 1))
+        free = (bits >> i & np.uint64(255)) | (bits >> j & np.uint64(255)) << np.uint64(8)
+
+        def found(a: np.ndarray, b: np.ndarray, wild: tuple[int, int] | None) -> None:
+            differ = free[a] ^ free[b]
+            near = (np.bitwise_count(differ) <= max_bits) & (differ != 0)
+            a, b, differ = a[near], b[near], differ[near]
+            octets = ((differ & np.uint64(255)) != 0).astype(np.uint64) << (i[a] // np.uint64(8)) | ((differ >> np.uint64(8)) != 0).astype(np.uint64) << (j[a] // np.uint64(8))
+            low, high = ends(octets)
+            first = (low == i[a] // np.uint64(8)) & (high == j[a] // np.uint64(8))
+            if wild is not None:
+                low, high = ends(differ)
+                first &= (low == wild[0]) & (high == wild[1])
+            pairs.append(np.stack([bits[a[first]], bits[b[first]]]).view(np.int64))
+
+        _, size = _runs(run)
+        few = np.flatnonzero(size <= bucket)
+        for k, m in _within(run[few]):
+            found(few[k], few[m], None)
+        many = np.flatnonzero(size > bucket)
+        for wild in combinations(range(16), 2) if len(many) else ():
+            mask = np.uint64(0xFFFF ^ (1 << wild[0]) ^ (1 << wild[1]))
+            code = run[many] << 16 | (free[many] & mask).astype(np.int64)
+            order = np.argsort(code, kind="stable")
+            sub, _ = _runs(code[order])
+            for k, m in _within(sub):
+                found(many[order[k]], many[order[m]], wild)
+        return pairs, []
+
+    return emit
+
+
+def _close_pairs(emit, most: int):
+    """A function on Arrow batches of (k1, k2, value), sorted by key: gives the pairs (a, b) that `emit` finds among the
+    values of a key, and (a, null) for each dense value.  Values of a key with over `most` are dense; so it holds
+    one batch and at most `most` values, however many a key has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((3, 0), dtype=np.int64)
         full = None  # the key at the end of the last batch, once it has given out its values as dense
 
-        def emit(rows: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        def emitted(rows: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
             """rows: whole keys."""
             if not rows.shape[1]:
                 return [], []
             start = np.flatnonzero(np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(0)])
             size = np.diff(np.r_[start, rows.shape[1]])
-            dense = np.repeat(size > bucket, size)
-            few, run_of = rows[2, ~dense], np.repeat(np.arange(len(size)), size)[~dense]
-            pairs, step = [], 1
-            while True:
-                same = np.flatnonzero(run_of[step:] == run_of[:-step])
-                if not len(same):
-                    break
-                x, y = few[same], few[same + step]
-                near = np.bitwise_count((x ^ y).view(np.uint64)) <= max_bits
-                pairs.append(np.stack([x[near], y[near]]))
-                step += 1
-            return pairs, [rows[2, dense]]
+            number, size = np.repeat(np.arange(len(size)), size), np.repeat(size, size)
+            some = (size > 1) & (size <= most)
+            pairs, dense = emit(rows[0, some], number[some], rows[2, some])
+            return pairs, [*dense, rows[2, size > most]]
 
         def batch_of(pairs: list[np.ndarray], dense: list[np.ndarray]) -> pa.RecordBatch:
             both = np.concatenate([np.zeros((2, 0), dtype=np.int64), *pairs], axis=1)
-            lone = np.concatenate([np.zeros(0, dtype=np.int64), *dense])
+            lone = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *dense]))
             a = np.r_[both[0], lone]
             null = np.r_[np.zeros(both.shape[1], bool), np.ones(len(lone), bool)]
             return pa.RecordBatch.from_arrays(
@@ -119,46 +202,42 @@ def _close_pairs(max_bits: int, bucket: int):
                 continue
             last = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
             cutoff = rows.shape[1] - int(last.sum())
-            pairs, dense = emit(rows[:, :cutoff])
+            pairs, dense = emitted(rows[:, :cutoff])
             held = rows[:, cutoff:]
-            if held.shape[1] > bucket:
+            if held.shape[1] > most:
                 full = (held[0, -1], held[1, -1])
                 dense.append(held[2])
                 held = held[:, :0]
             yield batch_of(pairs, early + dense)
-        yield batch_of(*emit(held))
+        yield batch_of(*emitted(held))
 
     return run
 
 
-def _joined(keyed: DataFrame, max_bits: int, bucket: int) -> DataFrame:
+def _joined(keyed: DataFrame, emit, most: int) -> DataFrame:
     """The equality join of (k1, k2, value) with itself on the key: one shuffle, one sort, one pass."""
-    return (
-        keyed.repartition("k1", "k2")
-        .sortWithinPartitions("k1", "k2")
-        .mapInArrow(_close_pairs(max_bits, bucket), "a long, b long")
-    )
+    return keyed.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(_close_pairs(emit, most), "a long, b long")
 
 
-def links(values: DataFrame, max_bits: int = 2, bucket: int = BUCKET) -> DataFrame:
+def links(values: DataFrame, max_bits: int = 2, bucket: int = BUCKET, most: int = MOST) -> DataFrame:
     """Pairs (a, b) of distinct values (column fingerprint, long) with at most max_bits (1 or 2) differing bits.
 
-    The pairs found under small keys are all there are between values that are under small keys only.  A value
-    under a key with over `bucket` values is dense: dense values are indexed by every choice of max_bits
-    wildcards.  Values under one such key differ in those bits only, so a key has at most 2 ** max_bits values,
-    whatever their number.  So no link is lost, and the work is linear in the number of values.
+    Of max_bits differing bits, one segment has at most one, so all its bytes but one are exact: each value is
+    shuffled once for each of the eight bytes, under the other bytes of its segment.  There the one-wildcard
+    variants of that byte are built, joined by equality and verified; a pair comes from the first variant alone.
+    Values under a variant of over `bucket` values, or under exact bytes of over `most`, are dense.  Dense values are
+    shuffled under all but two of their bytes, for each two: all close pairs of them meet there, among at most 65,536
+    values.  So no link is lost, nothing is quadratic, and rows are 8 for a value (28 more for a dense one).
     """
     if max_bits not in (1, 2):
         raise ValueError("max_bits is 1 or 2")
-    value = F.col("fingerprint")
-    keyed = values.select(variants(value, max_bits).alias("k"), "fingerprint").select("k.k1", "k.k2", "fingerprint")
-    found = cut(_joined(keyed, max_bits, bucket))
+    octet = [255 << 8 * k for k in range(8)]
+    segments = _segments(max_bits)
+    masks = [next(s for s in segments if s & b) & ~b for b in octet]
+    found = cut(_joined(_keyed(values, masks), _one_wildcard(max_bits, bucket), most))
     dense = found.where("b IS NULL").select(F.col("a").alias("fingerprint")).distinct()
-    masks = [_signed(~sum(1 << b for b in bits) & ((1 << 64) - 1)) for bits in combinations(range(BITS), max_bits)]
-    wild = dense.select(F.explode(F.lit(masks).cast("array<long>")).alias("k1"), "fingerprint").select(
-        "k1", value.bitwiseAND(F.col("k1")).alias("k2"), "fingerprint"
-    )
-    return found.where("b IS NOT NULL").union(_joined(wild, max_bits, 1 << max_bits))
+    masks = [((1 << BITS) - 1) & ~(a | b) for a, b in combinations(octet, 2)]
+    return found.where("b IS NOT NULL").union(_joined(_keyed(dense, masks), _wildcard_pairs(max_bits, bucket), 1 << 16))
 
 
 def near_duplicates(
@@ -175,9 +254,9 @@ def near_duplicates(
     total = rows.count()
     distinct = cut(rows.groupBy("fingerprint").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight")))
     parts = components(links(distinct.select("fingerprint"), max_bits, bucket))
-    linked = parts.join(distinct, F.col("node") == F.col("fingerprint")).select("node", "root", "least")
-    roots = linked.groupBy("root").agg(F.min("least").alias("component"))
-    linked = linked.join(roots, "root").select(F.col("node").alias("fingerprint"), "component")
+    linked = cut(parts.join(distinct, F.col("node") == F.col("fingerprint")).select("node", "root", "least"))
+    roots = cut(linked.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("n")))
+    linked = attach(linked, roots, "root", "n", linked.count()).select(F.col("node").alias("fingerprint"), "component")
     groups = distinct.join(linked, "fingerprint", "left").where("weight > 1 OR component IS NOT NULL")
     groups = cut(groups.select("fingerprint", "weight", F.coalesce("component", "least").alias("component_id")))
     return attach(rows, groups, "fingerprint", "weight", total).select(

@@ -144,9 +144,9 @@ def test_simhash(sample, docs, bucket):
         assert sorted(((r["doc_id"], r["fingerprint"] % (1 << 64), r["component_id"]) for r in got), key=key) == sorted(((i, f, c) for (i, _), f, c in expected), key=key)
 
 
-@pytest.mark.parametrize("bucket", [64, 2])
+@pytest.mark.parametrize("bucket, most", [(64, 1 << 16), (2, 1 << 16), (64, 3)])
 @pytest.mark.parametrize("bits", [1, 2])
-def test_links_of_crowded_fingerprints(spark, bucket, bits):
+def test_links_of_crowded_fingerprints(spark, bucket, most, bits):
     rng = random.Random(3)
     values = {rng.getrandbits(64) for _ in range(100)}
     for centre in rng.sample(sorted(values), 4):
@@ -157,7 +157,10 @@ def test_links_of_crowded_fingerprints(spark, bucket, bits):
             values.add(value)
     values = sorted(v - (1 << 64) if v >> 63 else v for v in values)
     df = spark.createDataFrame([(v,) for v in values], "fingerprint long")
-    got = simhash.components(simhash.links(df, bits, bucket)).collect()
+    found = [frozenset((r["a"], r["b"])) for r in simhash.links(df, bits, bucket, most).collect()]
+    close = {frozenset((a, b)) for k, a in enumerate(values) for b in values[:k] if ((a ^ b) % (1 << 64)).bit_count() <= bits}
+    assert set(found) == close and (bucket == 2 or len(found) <= (1 if most > 3 else 2) * len(close))
+    got = simhash.components(simhash.links(df, bits, bucket, most)).collect()
     joined = {frozenset((r["node"], r["root"])) for r in got}
     parent = {v: v for v in values}
 
@@ -180,6 +183,30 @@ def test_components_of_a_path(spark):
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
 
 
+def rows_by_partition(df):
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(sizes), sum(sizes) / len(sizes)
+
+
+def test_attach_spreads_null_and_hot_keys(spark):
+    """Null keys and a key with a third of the rows: no task gets many rows, also where nothing else is broadcast."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    for k, v in zip(keep, ("-1", "8", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        left = spark.range(0, 60_000, numPartitions=8).select("id", F.expr("CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN -1 ELSE id END").alias("key")).cache()
+        right = left.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("w")).withColumn("x", F.col("key") + 1)
+        got = simhash.attach(left, right, "key", "w", 60_000).cache()
+        most, mean = rows_by_partition(got)
+        assert most <= 2 * mean
+        assert got.agg(F.count(F.lit(1)), F.count("x"), F.sum("x")).first() == left.agg(F.count(F.lit(1)), F.count("key"), F.sum(F.col("key") + 1)).first()
+        star = spark.range(1, 60_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+        assert simhash.components(star).groupBy("root").count().collect() == [(0, 60_001)]
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
 def test_simhash_of_nothing(none):
     assert simhash.near_duplicates(none).count() == 0
     with pytest.raises(ValueError):
@@ -189,9 +216,10 @@ def test_simhash_of_nothing(none):
 # --- exact --------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("keys", [500_000, 0])
-def test_exact(docs, none, keys, monkeypatch):
+@pytest.mark.parametrize("keys, slots", [(500_000, 1 << 18), (0, 1)])
+def test_exact(docs, none, keys, slots, monkeypatch):
     monkeypatch.setattr(exact, "BROADCAST_KEYS", keys)
+    monkeypatch.setattr(exact, "SLOTS", slots)
     df = clash(docs, "kept", "keep_id", "length", "prefix")
     got = exact.exact_groups(df, digest=True).collect()
     groups = defaultdict(list)
