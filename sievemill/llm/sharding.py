@@ -123,7 +123,8 @@ def shard_edges(groups: DataFrame, shards: int) -> list[int]:
             return [cells[k][0] if k < len(cells) else 1 << 63 for k in even]
         shift = max(cells[k][1] for k in split)
         chosen = [k for k in split if cells[k][1] == shift]
-        inside = spark.createDataFrame([(cells[k][0] >> shift,) for k in chosen], "p long")
+        listed = F.split(F.lit(",".join(str(cells[k][0] >> shift) for k in chosen)), ",")
+        inside = spark.range(1).select(F.explode(listed.cast("array<long>")).alias("p"))
         finer = level(64 - shift + MORE_BITS, inside, 64 - shift)
         gone = set(chosen)
         cells = sorted([c for k, c in enumerate(cells) if k not in gone] + finer)
@@ -134,8 +135,8 @@ def assign_shards(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text:
 
     Rows of equal text stay together (a null text is as an empty one; its size is 16).  The largest shard is as
     small as any cut of the groups, ordered by hash, allows; within that bound the cuts are put where the shards are
-    nearest to equal.  A group larger than an even share is a bound for its shard alone.  Slots run from 0
-    without gaps.  Repeated rows get a slot each; an empty table gives no rows; other columns aren't read.
+    nearest to equal.  Different texts of equal xxhash64 would be one group.  A group larger than an even share is a bound for its shard alone.  Slots run from 0
+    without gaps.  Repeated rows get a slot each, numbered by one task for each pair of id and text; an empty table gives no rows; other columns aren't read.
     """
     size = F.octet_length(text_of(text)).cast("long") + 16
     rows = cut(
