@@ -9,14 +9,39 @@ from sievemill.llm.common import attach, cut, documents, q, text_of
 #: Characters that don't count when texts are compared.
 BLANKS = r"[\x20\x09-\x0D]+"
 PREFIX = 128
-#: So many surviving keys are broadcast at most (about 40 MB).
+#: So many keys of rows to drop are broadcast at most (about 40 MB).
 BROADCAST_KEYS = 500_000
+#: Words of 64 bits that say which keys survive a stage: what is broadcast has this size, however many survive.
+SLOTS = 1 << 18
 
 
 def normalised(text: str = "text") -> Column:
     return F.regexp_replace(text_of(text), BLANKS, "")
 
 
+def _survivors(keys: DataFrame, *columns: str) -> DataFrame:
+    """(slot, bits): a bit set for the hash of each key that several rows have; at most SLOTS rows."""
+    code = F.xxhash64(*columns)
+    several = keys.groupBy(*columns).count().where("count > 1")
+    bits = several.select(F.pmod(code, F.lit(SLOTS)).alias("slot"), _bit(code).alias("bit"))
+    return cut(bits.groupBy("slot").agg(F.bit_or("bit").alias("bits")))
+
+
+def _bit(code: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(code, 58).cast("int"))
+
+
+def _alive(rows: DataFrame, survivors: DataFrame, *columns: str) -> DataFrame:
+    """rows, each with a flag `alive`, false where its key surely has no other row.
+
+    A row whose key shares its bit with one that survives goes on too, which costs a hash and changes no result.
+    """
+    code = F.xxhash64(*columns)
+    slotted = rows.withColumn("slot", F.pmod(code, F.lit(SLOTS))).withColumn("bit", _bit(code))
+    flagged = slotted.join(F.broadcast(survivors), "slot", "left")
+    return flagged.withColumn("alive", F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))).drop("slot", "bit", "bits")
+
+
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """One row per row of df: id, text_hash (xxhash64 of the original text), keep_id, group_size, kept, full_hash.
 
@@ -24,26 +49,25 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", dige
     code points in its original text stays, then that with the smallest id (null last); of rows that repeat text
     and id, one.
 
-    A first pass groups by normalised length and hash of the first PREFIX characters (one exchange of partial
-    counts).  A second pass computes the full hash (SHA-256, binary) of rows whose key survived, that is has
-    several rows, and groups those by it; for the others full_hash stays null unless digest asks for it.  The text
-    is never shuffled.  Surviving keys are broadcast up to BROADCAST_KEYS; beyond that every row counts as
-    surviving, which gives the same result.  An empty table gives no rows; other columns aren't read.
+    Three passes over the texts.  The first counts normalised lengths.  The second hashes the first PREFIX
+    characters of rows whose length repeats, and counts (length, prefix hash).  The third computes the full
+    hash (SHA-256, binary) of rows whose key repeats; groups are those of equal full hash.  For the other rows
+    full_hash stays null unless digest asks for it.  Between passes travels a bitmap of fixed size (SLOTS), so there is
+    one way at every size; the text is never shuffled.  An empty table gives no rows; other columns aren't read.
     """
     norm = normalised(text)
-    key = [F.length(norm).alias("length"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("prefix")]
-    survivors = cut(df.select(*key).groupBy("length", "prefix").count().where("count > 1").select("length", "prefix"))
-    few = survivors.count() <= BROADCAST_KEYS
+    lengths = _survivors(df.select(F.length(norm).alias("length")), "length")
     source = df.select(
-        F.col(q(id_col)).alias("id"), F.length(text_of(text)).alias("points"), F.xxhash64(text_of(text)).alias("text_hash"), norm.alias("norm")
-    )
+        F.col(q(id_col)).alias("id"), F.length(text_of(text)).alias("points"), F.xxhash64(text_of(text)).alias("text_hash"),
+        norm.alias("norm"), F.length(norm).alias("length"),
+    )
+    # A CASE, so that rows that went out are not hashed.
+    source = _alive(source, lengths, "length")
+    source = source.withColumn("prefix", F.when(F.col("alive"), F.xxhash64(F.substring("norm", 1, PREFIX))))
+    keys = _survivors(source.where("alive").select("length", "prefix"), "length", "prefix")
+    source = _alive(source.withColumnRenamed("alive", "long_alive"), keys, "length", "prefix")
+    alive = F.col("long_alive") & F.col("alive")
     full = F.unhex(F.sha2("norm", 256))
-    if few:
-        on = [F.length("norm") == F.col("length"), F.xxhash64(F.substring("norm", 1, PREFIX)) == F.col("prefix")]
-        source = source.join(F.broadcast(survivors), on, "left")
-        alive = F.col("length").isNotNull()
-    else:
-        alive = F.lit(True)
     rows = cut(
         source.select(
             "id", "points", "text_hash", alive.alias("alive"),
