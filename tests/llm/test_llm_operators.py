@@ -196,7 +196,7 @@ def test_attach_spreads_null_and_hot_keys(spark):
     try:
         left = spark.range(0, 60_000, numPartitions=8).select("id", F.expr("CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN -1 ELSE id END").alias("key")).cache()
         right = left.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("w")).withColumn("x", F.col("key") + 1)
-        got = simhash.attach(left, right, "key", "w", 60_000).cache()
+        got = simhash.attach(left, right, "key", "w", 60_000, nulls=True).cache()
         most, mean = rows_by_partition(got)
         assert most <= 2 * mean
         assert got.agg(F.count(F.lit(1)), F.count("x"), F.sum("x")).first() == left.agg(F.count(F.lit(1)), F.count("key"), F.sum(F.col("key") + 1)).first()
@@ -327,6 +327,57 @@ def test_pack_fills_bins():
         packing.pack([17], (16,))
 
 
+def plain_pack(sizes, lengths, overhead):
+    """Best fit decreasing by looking at every open bin for every size."""
+    order = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k))
+    bins, of = [], {}
+    for n, k in enumerate(order):
+        fits = [b for b, (length, held) in enumerate(bins) if length - held >= sizes[k]]
+        if fits:
+            b = min(fits, key=lambda b: (bins[b][0] - bins[b][1], b))
+        else:
+            later = [sizes[j] for j in order[n + 1 :]]
+            gap = sum(later) / len(later) / 2 if later else 0
+            price = []
+            for length in (x for x in lengths if x >= sizes[k]):
+                room = length - sizes[k]
+                held = sizes[k] + (sum(later) if sum(later) <= room else max(0, room - gap))
+                price.append(((length + overhead) / held, length))
+            b = len(bins)
+            bins.append([min(price)[1], 0])
+        of[k] = b, bins[b][1]
+        bins[b][1] += sizes[k]
+    return [of[k][0] for k in range(len(sizes))], [of[k][1] for k in range(len(sizes))], [min(x for x in lengths if x >= held) for _, held in bins]
+
+
+def test_pack_against_plain_best_fit():
+    rng = random.Random(11)
+    for lengths in ((16,), (4, 8, 16), (256, 1024, 4096)):
+        for overhead in (0, 32):
+            for count in (1, 2, 7, 150):
+                sizes = [min(lengths[-1], max(1, int(rng.lognormvariate(1 + lengths[-1] ** 0.2, 1)))) for _ in range(count)]
+                assert packing.pack(sizes, lengths, overhead) == plain_pack(sizes, lengths, overhead)
+
+
+def test_bins_do_not_depend_on_splits(sample):
+    rows = [sorted(map(tuple, packing.pack_documents(sample.union(sample).repartition(n), lengths=(64, 256), group=60).collect())) for n in (1, 5)]
+    assert rows[0] == rows[1]
+
+
+@lru_cache
+def plain_tokens(text):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(packing.default_ranks(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert encoding.decode(encoding.encode_ordinary(text)) == text
+    return len(encoding.encode_ordinary(text)) + 1
+
+
 def test_packing(sample, docs, none):
     for df in (sample, docs):
         got = packing.pack_documents(clash(df, "piece", "length", "bin_id", "g", "row"), lengths=(64, 128, 256), group=50).collect()
@@ -337,7 +388,7 @@ def test_packing(sample, docs, none):
             bins[r["bin_id"], r["bin_length"]].append((r["bin_offset"], r["length"]))
         expected = defaultdict(int)
         for r in df.collect():
-            expected[r["doc_id"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) + 1
+            expected[r["doc_id"]] += plain_tokens(r["text"] or "")
         assert tokens == expected and len({b for b, _ in bins}) == len(bins)
         for (_, size), parts in bins.items():
             parts.sort()
