@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sievemill.plans.lineage import cut, written
 
-__all__ = ["attach", "components", "cut", "documents", "map_texts", "q", "text_of", "written"]
+__all__ = ["attach", "components", "cut", "documents", "map_texts", "q", "text_of", "unused", "written"]
 
 #: Bytes of text handed to an operator's function at once; one longer text is handed over alone.
 SLICE_BYTES = 4 << 20
@@ -35,6 +35,14 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(q(name)).cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it (letter case doesn't count)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def map_texts(
     df: DataFrame,
     fn: Callable[[list[str]], dict[str, list]],
@@ -74,22 +82,22 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
-def attach(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int, nulls: bool = False) -> DataFrame:
     """left join right on key, where right has a key once and weight says how many rows of left have it.
 
     Keys with over rows / HOT_SHARE rows are broadcast (there are fewer than HOT_SHARE of them); the others
-    are shuffled, and none of those is heavy.  Rows of left with a null key have no partner and don't move; rows
-    without a partner get nulls.  left is read three times.
+    are shuffled, and none of those is heavy.  Rows without a partner get nulls.  nulls: left has null keys; those
+    rows have no partner and don't move.  left is read twice, with nulls three times.
     """
     limit = max(1_000, rows // HOT_SHARE)
     hot = right.where(F.col(weight) > limit)
     cold = right.where(F.col(weight) <= limit)
     keys = F.broadcast(hot.select(key))
-    named = left.where(F.col(key).isNotNull())
+    named = left.where(F.col(key).isNotNull()) if nulls else left
     found = named.join(F.broadcast(hot), key, "inner").unionByName(
         named.join(keys, key, "left_anti").join(cold, key, "left")
     )
-    return found.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True)
+    return found.unionByName(left.where(F.col(key).isNull()), allowMissingColumns=True) if nulls else found
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

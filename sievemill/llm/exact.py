@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sievemill.llm.common import attach, cut, documents, q, text_of
+from sievemill.llm.common import attach, cut, documents, q, text_of, unused
 
 #: Characters that don't count when texts are compared.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -81,7 +81,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", dige
     groups = cut(
         groups.where("group_size > 1").select("full_hash", "group_size", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"))
     )
-    joined = attach(rows, groups, "full_hash", "group_size", total)
+    joined = attach(rows, groups, "full_hash", "group_size", total, nulls=not digest)
     return joined.select(
         F.col("id").alias(id_col),
         "text_hash",
@@ -98,15 +98,16 @@ def keep_rows(df: DataFrame, verdict: DataFrame, id_col: str = "doc_id", text: s
     Only the keys that lose a row are joined: broadcast up to BROADCAST_KEYS, else shuffled.  Where some of
     several equal rows stay, one of them does.
     """
-    keys = verdict.groupBy(F.col(q(id_col)).alias("_id"), F.col("text_hash").alias("_hash"))
-    keys = cut(keys.agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")).where("NOT _kept OR _n > 1"))
-    size, repeated = keys.agg(F.count(F.lit(1)), F.coalesce(F.count_if("_kept"), F.lit(0))).first()
+    ident, hashed, kept, count = (unused(df, n) for n in ("_id", "_hash", "_kept", "_n"))
+    keys = verdict.groupBy(F.col(q(id_col)).alias(ident), F.col("text_hash").alias(hashed))
+    keys = cut(keys.agg(F.max("kept").alias(kept), F.count(F.lit(1)).alias(count)).where(~F.col(kept) | (F.col(count) > 1)))
+    size, repeated = keys.agg(F.count(F.lit(1)), F.coalesce(F.count_if(kept), F.lit(0))).first()
     side = F.broadcast(keys) if size <= BROADCAST_KEYS else keys
-    on = [F.col(q(id_col)).eqNullSafe(F.col("_id")), F.xxhash64(text_of(text)) == F.col("_hash")]
+    on = [F.col(q(id_col)).eqNullSafe(F.col(ident)), F.xxhash64(text_of(text)) == F.col(hashed)]
     joined = df.join(side, on, "left")
-    out = joined.where("_hash IS NULL")
+    out = joined.where(F.col(hashed).isNull())
     if repeated:
-        out = out.unionByName(joined.where("_kept").dropDuplicates(["_id", "_hash"]))
+        out = out.unionByName(joined.where(kept).dropDuplicates([ident, hashed]))
     return out.select(*[F.col(q(c)) for c in df.columns])
 
 

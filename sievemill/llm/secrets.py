@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from sievemill.llm.common import documents, map_texts, q, text_of
+from sievemill.llm.common import documents, map_texts, q, text_of, unused
 
 TREES, DEPTH, EXAMPLES, SEED = 40, 9, 4_000, 7
 THRESHOLD = 0.5
@@ -302,7 +302,8 @@ def scan_secrets(
     """
     shared = df.sparkSession.sparkContext.broadcast(forest)
     where = F.replace(F.coalesce(F.col(q(path)).cast("string"), F.lit("")), F.lit("\0"), F.lit("")) if path else F.lit("")
-    source = df.withColumn("_both", F.concat(where, F.lit("\0"), text_of(text)))
+    both = unused(df, "_both")
+    source = df.withColumn(both, F.concat(where, F.lit("\0"), text_of(text)))
 
     def run(rows: list[str]) -> dict[str, list]:
         found, clean = [], []
@@ -315,7 +316,7 @@ def scan_secrets(
         return {"findings": found} | ({masked: clean} if masked else {})
 
     added = [T.StructField("findings", FOUND)] + ([T.StructField(masked, T.StringType())] if masked else [])
-    return map_texts(source, run, added, "_both", df.columns if keep is None else keep)
+    return map_texts(source, run, added, both, df.columns if keep is None else keep)
 
 
 def mask(text: str, findings: list[dict]) -> str:
