@@ -64,14 +64,14 @@ def _keyed(values: DataFrame, masks: list[int]) -> DataFrame:
     return values.select(F.explode(keys).alias("k"), "fingerprint").select("k.k1", "k.k2", "fingerprint")
 
 
-def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each of the sorted codes the number of its run of equal codes and the size of that run."""
     start = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, dtype=np.int64)
     size = np.diff(np.r_[start, len(codes)])
     return np.repeat(np.arange(len(size)), size), np.repeat(size, size)
 
 
-def _within(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def within(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The places (k, j) of all pairs of the same run, a step of j - k at a time."""
     step = 1
     while len(same := np.flatnonzero(run[step:] == run[:-step])):
@@ -92,10 +92,10 @@ def _one_wildcard(max_bits: int, bucket: int):
         for wild in range(8):
             code = run * 256 + (left_out & np.uint64(255 ^ (1 << wild))).astype(np.int64)
             order = np.argsort(code, kind="stable")
-            sub, size = _runs(code[order])
+            sub, size = runs(code[order])
             dense.append(value[order[size > bucket]])
             at = order[size <= bucket]
-            for k, j in _within(sub[size <= bucket]):
+            for k, j in within(sub[size <= bucket]):
                 x, y, where = bits[at[k]], bits[at[j]], k1[at[k]]
                 differ, segment = x ^ y, where // bytes_in
                 own = differ & segments[segment]
@@ -140,17 +140,17 @@ def _wildcard_pairs(max_bits: int, bucket: int):
                 first &= (low == wild[0]) & (high == wild[1])
             pairs.append(np.stack([bits[a[first]], bits[b[first]]]).view(np.int64))
 
-        _, size = _runs(run)
+        _, size = runs(run)
         few = np.flatnonzero(size <= bucket)
-        for k, m in _within(run[few]):
+        for k, m in within(run[few]):
             found(few[k], few[m], None)
         many = np.flatnonzero(size > bucket)
         for wild in combinations(range(16), 2) if len(many) else ():
             mask = np.uint64(0xFFFF ^ (1 << wild[0]) ^ (1 << wild[1]))
             code = run[many] << 16 | (free[many] & mask).astype(np.int64)
             order = np.argsort(code, kind="stable")
-            sub, _ = _runs(code[order])
-            for k, m in _within(sub):
+            sub, _ = runs(code[order])
+            for k, m in within(sub):
                 found(many[order[k]], many[order[m]], wild)
         return pairs, []
 

@@ -8,14 +8,19 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from sievemill.llm import queries, simhash
+from sievemill.llm import packing, queries
 
 SF = "/root/testdata/sf0.001"
 
 
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+
+
 def test_stages_on_the_sample(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns = docs.columns
+    columns, schema = docs.columns, docs.schema
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = docs.collect()
         stage(spark, docs, SF).write.parquet(str(tmp_path / name))
@@ -35,16 +40,15 @@ def test_stages_on_the_sample(spark, tmp_path):
                 groups[re.sub(r"[\x20\x09-\x0D]", "", r["text"])].append((-len(r["text"]), r["doc_id"]))
             assert sorted(r["doc_id"] for r in after) == sorted(min(g)[1] for g in groups.values())
         if name == "near_dedup":
-            prints = {i: simhash.fingerprint(r["text"]) % (1 << 64) for i, r in by_id.items()}
-            linked = {i: {j for j in prints if (prints[i] ^ prints[j]).bit_count() <= 2} for i in prints}
+            sets = {i: shingles(r["text"]) for i, r in by_id.items()}
             least = {}
-            for i in sorted(prints):
+            for i in sorted(sets):
                 todo = [i]
                 while todo:
                     j = todo.pop()
                     if j not in least:
                         least[j] = i
-                        todo += linked[j]
+                        todo += [k for k in sets if 5 * len(sets[j] & sets[k]) >= 4 * len(sets[j] | sets[k])]
             assert sorted(r["doc_id"] for r in after) == sorted(set(least.values()))
         if name == "mask_secrets":
             assert sorted(by_id) == sorted(r["doc_id"] for r in after)
@@ -55,7 +59,8 @@ def test_stages_on_the_sample(spark, tmp_path):
             sizes = defaultdict(int)
             for r in after:
                 sizes[r["doc_id"]] += r["length"]
-            assert sizes == {i: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) + 1 for i, r in by_id.items()}
+            counted = packing.count_tokens(spark.createDataFrame(before, schema)).collect()
+            assert sizes == {r["doc_id"]: r["tokens"] for r in counted}
 
 
 def test_stages_on_awkward_tables(spark):
@@ -63,8 +68,17 @@ def test_stages_on_awkward_tables(spark):
     rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "x", "en", "s", 1), (None, "x", "en", "s", 1), (2, "", "en", "s", 0), (3, "a b c", "en", "s", 5), (4, "a  b c", "en", "s", 6)]
     docs = spark.createDataFrame(rows, schema)
     assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.exact_dedup(spark, docs, SF).collect()) == [0, 1, 4]
-    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} >= {1, None}
+    assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [0, 1, 3]
     assert corpus_pipeline.mask_secrets(spark, docs, SF).count() == 7
+    assert {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, SF).collect()} <= {None, 1, 2, 3, 4}
+    long = " ".join(f"w{k}" for k in range(60_000))
+    more = docs.unionByName(spark.createDataFrame([(5, long, "en", "s", 1), (6, long + " end", "en", "s", 1)], schema))
+    clash = more.selectExpr("*", "1 AS score", "2 AS kept", "3 AS sig", "4 AS findings", "5 AS tokens", "6 AS _hash", "7 AS row", "8 AS `a b`")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, clash, SF)
+        assert name == "pack" or got.columns == clash.columns
+        ids = sorted(r["doc_id"] or 0 for r in got.select("doc_id").distinct().collect())
+        assert ids == {"exact_dedup": [0, 1, 4, 5, 6], "near_dedup": [0, 1, 3, 5]}.get(name, ids if name == "quality" else [0, 1, 2, 3, 4, 5, 6])
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
