@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession, functions as F
 
-from sievemill.operators.payloads import payloads
+from sievemill.operators.payloads import JSON, payloads
 from sievemill.plans.analysis import analyze_site
 from sievemill.sources import http
 from sievemill.sources.crawl import crawl, stored
@@ -32,7 +32,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     whole = site.withColumns({"site_features": F.struct(*[F.col(c) for c in site.columns if c != "home_domain"])}).select("home_domain", "page_count", "site_features")
     write_jsonl(whole, f"{args.out_dir}/analysis.jsonl")
     write_jsonl(every.select("page.*"), f"{args.out_dir}/pages.jsonl")
-    write_jsonl(found.orderBy("seq").drop("seq"), f"{args.out_dir}/payloads.jsonl")
+    write_jsonl(found.orderBy("seq").drop("seq"), f"{args.out_dir}/payloads.jsonl", JSON)
     print(f"{reports.count()} pages, {found.count()} payloads -> {args.out_dir}")
     return 0
 

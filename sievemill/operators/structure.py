@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 from sievemill.functions import urls
+from sievemill.functions.numbers import rounded
 from sievemill.functions.strings import WS, counted, let, strip
 from sievemill.functions.suffixes import NONE
 
@@ -349,7 +350,7 @@ def features(report: dict[str, Column], home: Column) -> Column:
         report["css"]["third_party_stylesheet_count"].alias("third_party_stylesheet_count"),
         report["css"]["suspicious_declaration_count"].alias("suspicious_css_declaration_count"),
         report["links"]["counts"]["external"].alias("external_link_count"),
-        F.round(report["links"]["outbound_ratio"], 3).alias("outbound_ratio"),
+        rounded(report["links"]["outbound_ratio"]).alias("outbound_ratio"),
         refresh.isNotNull().alias("has_meta_refresh"),
         F.coalesce(away, F.lit(False)).alias("meta_refresh_off_domain"),
         report["skeleton"]["max_depth"].alias("max_dom_depth"),

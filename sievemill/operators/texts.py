@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from sievemill.functions import text
+from sievemill.functions.numbers import rounded
 from sievemill.functions.strings import collapse
 from sievemill.operators.structure import attr, elements, first, raw
 
@@ -60,7 +61,7 @@ def features(report: dict[str, Column]) -> Column:
     return F.struct(
         found["char_count"].alias("char_count"),
         found["word_count"].alias("word_count"),
-        F.round(found["uppercase_ratio"], 3).alias("uppercase_ratio"),
+        rounded(found["uppercase_ratio"]).alias("uppercase_ratio"),
         found["exclamation_count"].alias("exclamation_count"),
         *[F.size(found[f"{name}_hits"]).alias(f"{name}_hit_count") for name in text.LEXICONS],
         F.size(found["phone_numbers"]).alias("phone_number_count"),

@@ -15,7 +15,7 @@ from sievemill.functions.strings import WS, collapse
 from sievemill.operators import scripts, structure, texts
 from sievemill.operators.dom import parse
 from sievemill.operators.pages import analyze_pages, with_home
-from sievemill.operators.payloads import payloads
+from sievemill.operators.payloads import JSON, payloads
 from sievemill.operators.site import rollup
 from sievemill.plans.lineage import new_path, spread, written
 from sievemill.sources import csv_urls, http
@@ -312,7 +312,7 @@ def payload_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def payload_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(payload_records(spark, sf_dir))
+    return lines(payload_records(spark, sf_dir), (*JSON, "response_schema"))
 
 
 # --- markup made from columns -----------------------------------------------------------------------------------------

@@ -34,30 +34,30 @@ FIXTURES = {
     "hidden": """<div style="display:none">a</div><div style="visibility:hidden">b</div><div style="opacity:0">c</div><div style="left:-9999px">d</div><div hidden>e</div>
         <div aria-hidden="true">f</div><input type="hidden" hidden><div style="color:red">seen</div>""",
     "hidden_many": "<i hidden>x</i>" * 250,
-    "meta": """<html lang="en"><head><title>  My Title  </title><meta name="Description" content="d"><meta name="keywords" content="k"><meta name="generator" content="g"><meta charset="utf-8">
+    "meta": """<html lang="en"><head><title>  Harbour News  </title><meta name="Description" content="d"><meta name="keywords" content="k"><meta name="generator" content="g"><meta charset="utf-8">
         <meta property="og:title" content="t1"><meta property="og:site_name" content="s"><meta property="OG:title" content="t2"><meta http-equiv="refresh" content="5; url='https://evil.com/next'">
         <link rel="canonical" href="/c"><link rel="shortcut icon" href="/f.ico"></head></html>""",
     "meta_comma": '<meta http-equiv="refresh" content="5,url=x"><title>t</title>',
     "resources": """<img src="/a.png"><img src="https://evil.com/b.png"><iframe src="https://evil.com/f"></iframe><object data="/o"></object><embed src="/e"><video src="/v"></video>
         <source src="https://other.com/m"><link rel="preload" href="/p"><link rel="stylesheet" href="https://third.com/c.css"><script src="https://fourth.com/s.js"></script>""",
     "links": """<a href="/a">1</a><a href="b">2</a><a href="https://sub.example.com/">3</a><a href="https://x.com/">4</a><a href="http://y.org">5</a><a href="//x.com/z">6</a>
-        <a href="mailto:a@b.com?subject=hi">7</a><a href="tel:+1555">8</a><a href="#top">9</a><a href="javascript:void(0)">10</a><a>none</a>""",
+        <a href="mailto:post@q.net?subject=hi">7</a><a href="tel:+4930">8</a><a href="#top">9</a><a href="javascript:void(0)">10</a><a>none</a>""",
     "links_odd": '<a href="http://localhost/x">l</a><a href="whatsapp:123">w</a><a href="">e</a><a href="http://[::1">bad</a>',
-    "inline": """<script>var a=1;</script><script src="/x.js"></script><script type="application/ld+json">{"a":1}</script><script type="text/javascript">run();</script><script>  </script>
+    "inline": """<script>let z=3;</script><script src="/x.js"></script><script type="application/ld+json">{"a":1}</script><script type="text/javascript">start();</script><script>  </script>
         <script type="application/json; charset=utf-8">code()</script>""",
     "external": """<script src="/app.js"></script><script src="https://www.google-analytics.com/a.js"></script><script async src="https://cdn.jsdelivr.net/x.js"></script>
         <script defer src="https://unknown.biz/y.js"></script><script src=""></script>""",
     "handlers": '<body onload="a()"><b onclick="c()" one="t">x</b><img onerror="d()"></body>',
     "js_urls": '<iframe src="javascript:alert(1)"></iframe><a href="javascript:void(0)">x</a><a href="/y">y</a>',
-    "visible": "<html><head><title>t</title></head><body>Hello <!-- no --><script>x</script><style>y</style><p>World</p></body></html>",
-    "visible_bare": "dropped<p>Keep</p>",
+    "visible": "<html><head><title>t</title></head><body>Salt <!-- no --><script>x</script><style>y</style><p>Pepper</p></body></html>",
+    "visible_bare": "dropped<p>Stays</p>",
     "visible_noscript": "<noscript>gone<p>one</p></noscript><template><p>two</p></template>",
-    "slots": """<title>T</title><meta name="description" content="D"><h1>H<b>1</b></h1><h2> </h2><p>a <b>b</b></p><li>L</li><a>A</a><button>Submit</button><input type="submit" value="Send">
+    "slots": """<title>T</title><meta name="description" content="D"><h1>H<b>1</b></h1><h2> </h2><p>a <b>b</b></p><li>L</li><a>A</a><button>Order</button><input type="submit" value="Go">
         <input type="text" placeholder="ph"><img alt="alt"><i aria-label="al"></i><label>lab</label>""",
     "unclosed": "<p>a<p>b</b></div><br>c",
     "empty": "",
-    "scam": "<title>Account Suspended</title><body><p>URGENT! Verify now: your account is suspended. You won a free gift card prize, claim your reward</p><style>immediately</style></body>",
-    "odd_text": "<body><p>pаypal fr​ee​ V E R I F Y</p></body>",
+    "scam": "<title>Mailbox Suspended Today</title><body><p>You won a free gift card prize, claim your reward. URGENT! Your account is suspended, verify now:</p><style>immediately</style></body>",
+    "odd_text": "<body><p>pаypal fr​ee​ U R G E N T</p></body>",
 }
 
 
@@ -111,7 +111,7 @@ def test_css_and_hidden(got):
 
 def test_metadata(got):
     m = got["meta"]["web_code"]["metadata"]
-    assert (m["title"], m["description"], m["keywords"], m["generator"], m["lang"], m["charset"]) == ("My Title", "d", "k", "g", "en", "utf-8")
+    assert (m["title"], m["description"], m["keywords"], m["generator"], m["lang"], m["charset"]) == ("Harbour News", "d", "k", "g", "en", "utf-8")
     assert (m["favicon"], m["canonical"]) == ("https://example.com/f.ico", "https://example.com/c")
     assert [(x["key"], x["value"]) for x in m["og"]] == [("og:title", "t2"), ("og:site_name", "s")]
     assert (m["meta_refresh"]["delay"], m["meta_refresh"]["url"]) == ("5", "https://evil.com/next")
@@ -126,7 +126,7 @@ def test_resources_and_links(got):
     assert r["third_party_domains"] == ["evil.com", "other.com"]
     x = got["links"]["web_code"]["links"]
     assert x["counts"] == {"internal": 3, "external": 3, "mailto": 1, "tel": 1, "other": 2, "total": 10}
-    assert (x["mailto"], x["tel"], x["outbound_ratio"], x["external_domains"]) == (["a@b.com"], ["+1555"], 0.5, ["x.com", "y.org"])
+    assert (x["mailto"], x["tel"], x["outbound_ratio"], x["external_domains"]) == (["post@q.net"], ["+4930"], 0.5, ["x.com", "y.org"])
     odd = got["links_odd"]["web_code"]["links"]
     assert odd["counts"] == {"internal": 3, "external": 0, "mailto": 0, "tel": 0, "other": 1, "total": 4}
     assert "http://[::1" in odd["internal"] and odd["outbound_ratio"] == 0.0
@@ -134,7 +134,7 @@ def test_resources_and_links(got):
 
 def test_scripts(got):
     s = got["inline"]["scripts"]
-    assert [i["code"] for i in s["inline_scripts"]] == ["var a=1;", "run();", "code()"] and s["json_data_block_count"] == 1
+    assert [i["code"] for i in s["inline_scripts"]] == ["let z=3;", "start();", "code()"] and s["json_data_block_count"] == 1
     e = got["external"]["scripts"]["external_scripts"]
     assert [x["origin"] for x in e] == ["first-party", "known-tracker", "known-cdn", "third-party", "first-party"]
     assert [x["is_async"] for x in e] == [False, False, True, False, False] and e[3]["is_defer"] and e[4]["url"] == LOGIN
@@ -144,15 +144,15 @@ def test_scripts(got):
 
 def test_text(got):
     visible = {k: got[k]["text"]["visible_text"] for k in got}
-    assert visible["visible"] == "Hello World" and visible["visible_bare"] == "Keep" and visible["visible_noscript"] == "one two"
+    assert visible["visible"] == "Salt Pepper" and visible["visible_bare"] == "Stays" and visible["visible_noscript"] == "one two"
     s = got["slots"]["text"]["structured"]
     assert (s["title"], s["meta_description"], s["headings"], s["paragraphs"], s["list_items"], s["link_texts"]) == ("T", "D", ["H1"], ["ab"], ["L"], ["A"])
-    assert (s["button_texts"], s["image_alts"], s["aria_labels"], s["placeholders"], s["labels"]) == (["Submit", "Send"], ["alt"], ["al"], ["ph"], ["lab"])
-    assert got["slots"]["text"]["key_snippets"] == ["T", "H1", "Submit", "Send", "D"]
+    assert (s["button_texts"], s["image_alts"], s["aria_labels"], s["placeholders"], s["labels"]) == (["Order", "Go"], ["alt"], ["al"], ["ph"], ["lab"])
+    assert got["slots"]["text"]["key_snippets"] == ["T", "H1", "Order", "Go", "D"]
     assert got["unclosed"]["text"]["structured"]["paragraphs"] == ["abc", "bc"]
     f = got["scam"]["text"]["features"]
     assert (f["urgency_hit_count"], f["money_hit_count"], f["threat_hit_count"], f["exclamation_count"]) == (2, 6, 1, 1)
-    assert got["scam"]["text"]["key_snippets"][0] == "Account Suspended"
+    assert got["scam"]["text"]["key_snippets"][0] == "Mailbox Suspended Today"
     o = got["odd_text"]["text"]["obfuscation"]
     assert o == {"has_zero_width": True, "zero_width_count": 2, "mixed_script_words": ["pаypal"], "has_excessive_spacing": True}
 

@@ -5,6 +5,7 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from sievemill import cli
 from sievemill.sources import csv_urls, http, jsonl
@@ -87,10 +88,57 @@ def test_csv(spark, tmp_path):
             csv_urls.read_urls(spark, str(path))
 
 
+def test_csv_is_pythons(spark, tmp_path):
+    import csv
+
+    path = tmp_path / "urls.csv"
+    path.write_text('name,url\n"a, b","https://a.com/?q=""b"""\nx,"https://b.com/\nc"\ny,https://c.com/\n"z ""q""",\n')
+    with open(path, newline="") as f:
+        expected = [r["url"] for r in csv.DictReader(f) if r["url"]]
+    assert [r["url"] for r in csv_urls.read_urls(spark, str(path)).collect()] == expected and len(expected) == 3
+
+
+def test_client_on_a_server():
+    """Whatever a server or a URL does, there is an answer or none, and nothing else is raised."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            kind = {"/charset": "text/html; charset=nobody-knows", "/latin": "text/html", "/utf": "text/html; charset=utf-8", "/x": "application/xhtml+xml"}.get(self.path, "text/html")
+            body = "<p>é".encode("latin-1" if self.path in ("/latin", "/charset") else "utf-8")
+            self.send_response(404 if self.path == "/gone" else 200)
+            self.send_header("Content-Type", kind)
+            self.send_header("Content-Length", str(len(body) + (9 if self.path == "/short" else 0)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        for path in ("/charset", "/latin", "/utf", "/x", "/a b"):
+            assert http.grab_html(base + path, 5) == "<p>é" if path != "/a b" else http.ping(base + path, 5)
+        for url in (base + "/gone", base + "/short", "http://127.0.0.1:port/", "http://127.0.0.1:1/", "", "no url", "http://[::1", "unknown://x"):
+            assert http.grab_html(url, 5) is None and not http.ping(url, 5)
+    finally:
+        server.shutdown()
+
+
+def test_pings_are_spread(spark):
+    urls = spark.createDataFrame([(f"u{k}",) for k in range(200)], "url string")
+    assert http.ping_urls(urls, client=answer, tasks=8).select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
 def test_json_lines(spark, tmp_path):
     df = spark.createDataFrame([(2, None), (1, "é")], "k int, x string")
     jsonl.write_jsonl(df, str(tmp_path / "out"))
     assert sorted(json.loads(r["value"])["k"] for r in spark.read.text(str(tmp_path / "out")).collect()) == [1, 2]
+    found = spark.createDataFrame([(1, '{"a":[1,null]}', None)], "k int, `f` string, g string")
+    assert json.loads(jsonl.lines(found, ("f", "g")).first()["value"]) == {"k": 1, "f": {"a": [1, None]}, "g": None}
     assert jsonl.to_jsonl(df, "k").first()["jsonl"] == '{"k":1,"x":"é"}\n{"k":2,"x":null}'
 
 
@@ -102,6 +150,7 @@ def test_command_line(spark, tmp_path):
     assert site["page_count"] == 2 and site["site_features"]["total_money_hits"] == 2
     found = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out/payloads.jsonl")).collect()]
     assert {"payload_id", "site", "url", "committee", "artifact_type", "content", "features", "context", "question", "response_schema"} == set(found[0])
+    assert all(isinstance(x[k], dict) for x in found for k in ("features", "context", "response_schema"))
     assert cli.main(["nothing", "--pages", table], spark) == 1
 
 
