@@ -20,7 +20,7 @@ from sievemill.operators.site import rollup
 from sievemill.plans.lineage import new_path, spread, written
 from sievemill.sources import csv_urls, http
 from sievemill.sources.crawl import crawl, stored
-from sievemill.sources.jsonl import lines
+from sievemill.sources.jsonl import line, lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -482,6 +482,113 @@ def synth_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_count", "form_count", "pages_with_off_domain_form_action", "any_password_form", "pages_with_hidden_elements", F.array_join("known_tracker_domains", "|").alias("known_tracker_domains"), "max_suspicious_script_score")
 
 
+def _whole_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of a page for each supplier, in which every kind of artifact occurs; every second one refreshes."""
+    k, cat = F.col("s_suppkey").cast("string"), F.concat
+    html = cat(
+        F.lit("<html lang=en><head><title>"), F.col("s_name"), F.lit("</title><meta name=description content='d"), k, F.lit("'>"),
+        F.when(F.col("s_suppkey") % 2 == 0, cat(F.lit("<meta http-equiv=refresh content='"), k, F.lit(";url=https://evil.com/r'>"))).otherwise(""),
+        F.lit("</head><body><h1>Free prize "), k, F.lit("</h1><p>ACT NOW! Verify your account for $5.</p><form action='http://pay.org/p' method=POST>"),
+        F.lit("<input type=password name=pw><input name=cvv></form><script>eval("), k, F.lit(")</script><script src='https://www.google-analytics.com/a.js'></script>"),
+        F.lit("<b onclick='go("), k, F.lit(")'>x</b><a href='javascript:run("), k, F.lit(")'>j</a><a href='https://out.org/'>o</a>"), F.repeat(F.lit("<a href=/in>i</a>"), F.lit(15)),
+        F.lit("<div style='clip:rect(0,0,0,0)'>h"), k, F.lit("</div><img src='https://img.net/"), k, F.lit(".png'><iframe src='https://frame.org/f'></iframe>"),
+        F.lit("<p>0x"), F.lpad(k, 40, "a"), F.lit("</p></body></html>"),
+    )
+    pages = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pos"), cat(F.lit("https://www.example.com/"), k).alias("url"), html.alias("html"))
+    return analyze_pages(with_home(pages))
+
+#: The pages of _whole_reports in SQL: key, name, visible text, and whether the page refreshes.
+_WHOLE_SQL = """
+p AS (SELECT s_suppkey AS k, s_name AS title, s_suppkey % 2 = 0 AS away, 'https://www.example.com/' || s_suppkey AS url,
+             row_number() OVER (ORDER BY s_suppkey) - 1 AS nth,
+             'Free prize ' || s_suppkey || ' ACT NOW! Verify your account for $5. x j o ' || repeat('i ', 15) || 'h' || s_suppkey || ' 0x' || lpad(s_suppkey::varchar, 40, 'a') AS t
+      FROM supplier),
+w AS (SELECT *, '{"char_count":' || length(t) || ',"word_count":30,"uppercase_ratio":0.071,"exclamation_count":1,"urgency_hit_count":1,"money_hit_count":2,'
+             || '"credential_hit_count":1,"threat_hit_count":0,"phone_number_count":0,"email_count":0,"crypto_address_count":1,"currency_symbol_count":1,'
+             || '"has_zero_width":false,"mixed_script_word_count":0,"has_excessive_spacing":true,"chunk_count":1,"title":"' || title || '"}' AS text,
+             length('eval(' || k || ')') AS size, '{"home_domain":"example.com","page_title":"' || title || '"' AS ctx FROM p)
+"""
+
+
+@query(f"""
+WITH {_WHOLE_SQL}
+SELECT k AS pos, url, 'example.com' AS home_domain, text,
+  '{{"form_count":1,"has_password_form":true,"has_payment_form":true,"has_off_domain_form_action":true,"has_insecure_form_action":true,"hidden_element_count":1,'
+  || '"iframe_count":1,"third_party_iframe_count":1,"third_party_resource_domain_count":2,"third_party_resource_domains":["frame.org","img.net"],'
+  || '"third_party_stylesheet_count":0,"suspicious_css_declaration_count":0,"external_link_count":1,"outbound_ratio":0.062,"has_meta_refresh":' || away
+  || ',"meta_refresh_off_domain":' || away || ',"max_dom_depth":4,"element_count":' || CASE WHEN away THEN 35 ELSE 34 END || ',"title":"' || title || '"}}' AS web_code,
+  '{{"inline_script_count":1,"external_script_count":1,"third_party_script_count":1,"known_tracker_count":1,"event_handler_count":1,"javascript_url_count":1,'
+  || '"json_data_block_count":0,"uses_eval":true,"uses_base64":false,"uses_document_write":false,"uses_redirect":false,"listens_keyboard":false,"hooks_forms":false,'
+  || '"uses_cookie_access":false,"has_high_entropy_script":false,"max_suspicious_score":1,"total_inline_chars":' || size || '}}' AS scripts,
+  'head|  title|  meta|' || CASE WHEN away THEN '  meta|' ELSE '' END
+  || 'body|  h1|  p|  form|    input|    input|  script|  script|  b|  a|  a|  a|  a|  ... (+17 more)' AS outline
+FROM w
+""")
+def synth_page_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of all three reports of a page."""
+    made = [F.to_json(f"{c}.features", {"ignoreNullFields": "false"}).alias(c) for c in ("web_code", "scripts", "text")]
+    outline = F.replace("web_code.skeleton.outline", F.lit("\n"), F.lit("|")).alias("outline")
+    return _whole_reports(spark, sf_dir).select("pos", "url", "home_domain", *made, outline)
+
+
+@query(f"""
+WITH {_WHOLE_SQL},
+a AS (
+  SELECT k, url, nth, x.* FROM w, LATERAL (
+    SELECT 0 AS i, 'text' AS committee, 'text_snippets' AS artifact_type, title || chr(10) || 'Free prize ' || k || chr(10) || 'd' || k AS content, text AS features, ctx || '}}' AS context
+    UNION ALL SELECT 1, 'text', 'text_chunk', t, text, ctx || ',"chunk_index":0,"chunk_total":1}}'
+    UNION ALL SELECT 2, 'scripts', 'inline_script', 'eval(' || k || ')',
+      '{{"length":' || size || ',"uses_eval":true,"uses_function_ctor":false,"uses_base64":false,"uses_document_write":false,"uses_from_char_code":false,"uses_redirect":false,'
+      || '"listens_keyboard":false,"hooks_forms":false,"uses_cookie_access":false,"long_escape_runs":0,"high_entropy":false,"suspicious_score":1}}',
+      ctx || ',"script_index":0,"chunk_index":0,"chunk_total":1}}'
+    UNION ALL SELECT 3, 'scripts', 'external_script_ref', 'https://www.google-analytics.com/a.js', '{{"origin":"known-tracker","off_domain":true,"domain":"google-analytics.com"}}', ctx || '}}'
+    UNION ALL SELECT 4, 'scripts', 'event_handler', 'go(' || k || ')', '{{"attribute":"onclick","tag":"b"}}', ctx || '}}'
+    UNION ALL SELECT 5, 'scripts', 'javascript_url', 'javascript:run(' || k || ')', '{{}}', ctx || '}}'
+    UNION ALL SELECT 6, 'web_code', 'metadata', 'title=''' || title || ''' description=''d' || k || ''''
+      || CASE WHEN away THEN ' meta_refresh={{''delay'': ''' || k || ''', ''url'': ''https://evil.com/r''}}' ELSE '' END,
+      '{{"has_meta_refresh":' || away || ',"meta_refresh_off_domain":' || away || ',"title":"' || title || '"}}', ctx || '}}'
+    UNION ALL SELECT 7, 'web_code', 'form', 'action=http://pay.org/p method=post off_domain=True insecure=True fields={{''password'': 1, ''text'': 1}}',
+      '{{"action_off_domain":true,"action_insecure":true,"has_password_field":true,"has_payment_field":true}}', ctx || '}}'
+    UNION ALL SELECT 8, 'web_code', 'hidden_elements', 'clip: h' || k, '{{"hidden_element_count":1}}', ctx || '}}'
+    UNION ALL SELECT 9, 'web_code', 'third_party_resources', 'frame.org, img.net', '{{"third_party_resource_domain_count":2,"iframe_count":1}}', ctx || '}}'
+  ) x
+)
+SELECT url || '#' || committee || ':' || artifact_type || ':' || (10 * nth + i) AS payload_id, 'example.com' AS site, url, committee, artifact_type, content, features, context,
+  CASE committee WHEN 'text' THEN 'Does this page text indicate a scam, phishing, or fraudulent solicitation?'
+    WHEN 'scripts' THEN 'Does this script artifact indicate malicious or deceptive behavior?' ELSE 'Does this page structure indicate a phishing or deceptive site?' END AS question,
+  '{{"verdict":"scam|suspicious|benign","confidence":0.0,"flags":[],"evidence":""}}' AS response_schema, 10 * nth + i AS seq
+FROM a
+""")
+def synth_payload_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of the payloads of all ten kinds."""
+    return payloads(_whole_reports(spark, sf_dir)).withColumn("response_schema", F.to_json("response_schema"))
+
+
+@query(f"""
+WITH {_WHOLE_SQL}
+SELECT k AS pos, '{{"pos":' || k || ',"url":"' || url || '","features":' || text || ',"site":null}}' AS jsonl FROM w
+""")
+def synth_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in which a feature record is an object."""
+    reports = _whole_reports(spark, sf_dir)
+    found = reports.select("pos", "url", F.to_json("text.features", {"ignoreNullFields": "false"}).alias("features"), F.lit(None).cast("string").alias("site"))
+    return found.select("pos", line(found, ("features",)).alias("jsonl"))
+
+
+@query("""
+SELECT count(*) AS page_count, count(*) AS form_count, count(*) AS pages_with_off_domain_form_action, true AS any_password_form, true AS any_payment_form,
+  true AS any_insecure_form_action, count_if(s_suppkey % 2 = 0) AS pages_with_meta_refresh, count_if(s_suppkey % 2 = 0) AS pages_with_meta_refresh_off_domain,
+  count(*) AS pages_with_hidden_elements, 1 AS max_suspicious_script_score, true AS any_eval_script, false AS any_redirect_script, count(*) AS total_urgency_hits,
+  2 * count(*) AS total_money_hits, count(*) AS total_credential_hits, 0 AS total_threat_hits, false AS any_zero_width_text, false AS any_mixed_script_text,
+  'google-analytics.com' AS external_script_domains, 'google-analytics.com' AS known_tracker_domains, 'frame.org|img.net' AS third_party_resource_domains,
+  'out.org' AS external_link_domains FROM supplier
+""")
+def synth_site_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of a site."""
+    found = rollup(written(_whole_reports(spark, sf_dir)))
+    return found.select(*[F.array_join(c, "|").alias(c) if kind.startswith("array") else F.col(c) for c, kind in found.dtypes])
+
+
 # --- sources ----------------------------------------------------------------------------------------------------------
 
 
