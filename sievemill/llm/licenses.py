@@ -26,6 +26,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
         "to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+        "the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -40,18 +46,51 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "GPL-2.0": (
+        "licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    ),
+    "AGPL-3.0": (
+        "licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version.",
     ),
     "LGPL-3.0": (
         "licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 3 of the License, or (at your "
+        "option) any later version.",
+    ),
+    "LGPL-2.1": (
+        "licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+        "option) any later version.",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
         "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution.",
+    ),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
-        "list of conditions and the following disclaimer.",
+        "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+        "with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission.",
     ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
@@ -66,6 +105,16 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-4.0": ("Licensed under CC BY 4.0.",),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
 }
+TEMPLATES = {name: (*texts, f"SPDX-License-Identifier: {name}") for name, texts in TEMPLATES.items()}
+
+#: What tells a license from those of like wording: words that a finding must hold, and words that it must not.
+MARKS: dict[str, tuple[str, str]] = {
+    "GPL-3.0": ("3", "lesser affero"), "GPL-2.0": ("2", "lesser affero"), "AGPL-3.0": ("affero 3", "lesser"), "LGPL-3.0": ("lesser 3", "affero"),
+    "LGPL-2.1": ("lesser 2 1", "affero"), "BSD-3-Clause": ("3", ""), "CC-BY-4.0": ("4", "nc sa"), "CC-BY-SA-4.0": ("sa 4", "nc"), "CC-BY-NC-4.0": ("nc 4", "sa"),
+    "MPL-2.0": ("2", ""), "Apache-2.0": ("license", ""),
+}
+#: Templates that begin so match whole, so they need no marks.
+_TAG = "SPDX"
 
 
 @dataclass
@@ -77,6 +126,8 @@ class Index:
     numbers: dict[str, int]
     grams: np.ndarray
     places: list[list[tuple[int, int]]]
+    needs: list[set[int]]
+    never: list[set[int]]
 
     def find(self, text: str) -> list[dict]:
         """The templates that occur in a text: license, coverage, start and end (code points), in order of start."""
@@ -108,14 +159,19 @@ class Index:
             for low, high in bands:
                 begin = max(0, low - BAND)
                 part = ids[begin : high + BAND + size + 1].copy()  # all words that the band can meet
+                if not self.needs[template].issubset(part.tolist()):
+                    continue
                 while got := align(self.words[template], part, low - BAND - begin, high + BAND - begin):
                     matched, first, last = got
                     if matched < least:
                         break
+                    inside = set(part[first : last + 1].tolist())
+                    part[first : last + 1] = 0  # the notice may stand in the band again
+                    if not self.needs[template] <= inside or self.never[template] & inside:
+                        continue
                     spots = spots or [m.span() for m in _TOKEN.finditer(text)]
                     span = {"start": spots[begin + first][0], "end": spots[begin + last][1]}
                     found.append({"license": self.names[template], "coverage": matched / size, "words": matched} | span)
-                    part[first : last + 1] = 0  # the notice may stand in the band again
         return _largest(found)
 
 
@@ -154,10 +210,13 @@ def winnow(codes: np.ndarray) -> list[int]:
 
 
 def build(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> Index:
-    names, rows, numbers = [], [], {}
+    names, rows, numbers, needs, never = [], [], {}, [], []
     for name, texts in templates.items():
         for text in texts:
             names.append(name)
+            tagged = text.startswith(_TAG)
+            for to, listed in zip((needs, never), ("", "") if tagged else MARKS.get(name, ("", "")), strict=True):
+                to.append({numbers.setdefault(w, len(numbers) + 1) for w in listed.split()})
             rows.append([numbers.setdefault(w, len(numbers) + 1) for w in map(str.lower, _TOKEN.findall(text))])
     places: dict[int, list[tuple[int, int]]] = {}
     for t, row in enumerate(rows):
@@ -165,7 +224,7 @@ def build(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> Index:
         for k in winnow(codes):
             places.setdefault(int(codes[k]), []).append((t, k))
     grams = sorted(places)
-    return Index(names, rows, numbers, np.array(grams, dtype=np.int64), [places[g] for g in grams])
+    return Index(names, rows, numbers, np.array(grams, dtype=np.int64), [places[g] for g in grams], needs, never)
 
 
 def align(template: list[int], words: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
