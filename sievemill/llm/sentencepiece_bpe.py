@@ -17,6 +17,10 @@ SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
+#: Texts that show what a model's settings do to spaces, other blanks and forms of characters; loading compares them.
+PROBES = ["", " ", "a", "  two  spaces ", "tab\tline\nend\n", "ﬁ Ａ ² e\u0301 é", f"{SPACE}x", "日本 \U0001f600 \x00"]
+
+
 def _each_byte(e: UnicodeDecodeError) -> tuple[str, int]:
     """The library puts a replacement character for each byte that isn't part of a character."""
     return "\ufffd" * (e.end - e.start), e.end
@@ -77,6 +81,9 @@ class Bpe:
         self.surface_size = np.array([len(x) for x in surface], dtype=np.int64)
         self.surface_start = np.r_[0, np.cumsum(self.surface_size)]
         self.spaced = np.array([names[k].startswith(SPACE) for k in range(n)])
+        for text, ids in zip(PROBES, self.encode(PROBES), strict=True):
+            if ids.tolist() != [self.bos, *sp.encode(text), self.eos]:
+                raise ValueError(f"the model's normaliser or settings aren't supported: {text!r} is encoded otherwise")
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol and rank (NONE: no such piece) of the merged pairs."""
@@ -111,10 +118,13 @@ class Bpe:
         start = np.cumsum(width) - width
         ids = np.zeros(int(width.sum()), dtype=np.int64)
         ids[start] = out
-        for k in np.unique(point[lone]).tolist():
-            where = start[lone & (point == k)]
-            for j, b in enumerate(chr(k).encode()):
-                ids[where + j] = self.bytes[b]
+        for size in range(1, 5):  # the UTF-8 bytes of all characters of a size at once
+            of = lone & (width == size)
+            p, where = point[of], start[of]
+            for j in range(size):
+                low = p >> 6 * (size - 1 - j)
+                octet = low | (0, 0, 0xC0, 0xE0, 0xF0)[size] if j == 0 else low & 0x3F | 0x80
+                ids[where + j] = self.bytes[octet]
         owner = np.repeat(np.arange(len(words)), counts)
         return ids, np.bincount(owner, weights=width, minlength=len(words)).astype(np.int64)
 
