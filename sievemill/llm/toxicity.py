@@ -122,7 +122,9 @@ def vocabulary_of(texts: list[str], toxic: np.ndarray) -> dict[str, int]:
 
 def fit(texts: list[str], toxic: np.ndarray) -> Chain:
     """The chain.  In training, a later model sees out-of-fold probabilities of the earlier ones: those that models
-    fitted without the row's fold give it, so it learns how far they can be trusted on new rows."""
+    fitted without the row's fold give it, so it learns how far they can be trusted on new rows.  The seed words of
+    a category, which its labels come from, and their beginnings aren't inputs of its own model: it tells the category
+    by what else is said."""
     vocabulary = vocabulary_of(texts, toxic)
     x = presence(texts, vocabulary)
     fold = np.arange(len(texts)) % FOLDS
@@ -130,11 +132,13 @@ def fit(texts: list[str], toxic: np.ndarray) -> Chain:
     for name in CHAIN:
         seeds = [vocabulary[w] for w in CATEGORIES.get(name, ())]
         y = toxic * (x[:, seeds].any(1) if seeds else 1.0)
+        seen = x.copy()
+        seen[:, [vocabulary[w] for s in CATEGORIES.get(name, ()) for w in words(s) if w in vocabulary]] = 0
         out_of_fold = np.zeros(len(texts))
         for k in range(FOLDS):
             rest = fold != k
-            out_of_fold[~rest] = _probability(x[~rest], logistic(x[rest], y[rest]))
-        weights.append(logistic(x, y))
+            out_of_fold[~rest] = _probability(seen[~rest], logistic(seen[rest], y[rest]))
+        weights.append(logistic(seen, y))
         x = np.c_[x, out_of_fold]
     return Chain(vocabulary, weights)
 
@@ -156,13 +160,13 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", limit: i
 
 
 def score_toxicity(df: DataFrame, chain: Chain, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """df with a probability p_<category> for each category of the chain, and predicted_toxic (1 if one is at least
-    the threshold, as every category is toxic, else 0), from the whole text.  Null texts count as empty; columns of these names are replaced."""
+    """df with a probability p_<category> for each category of the chain, and predicted_toxic (1 if that of the
+    last, toxic, is at least the threshold, else 0), from the whole text.  Null texts count as empty; columns of these names are replaced."""
     shared = df.sparkSession.sparkContext.broadcast(chain)
 
     def run(texts: list[str]) -> dict[str, list]:
         p = np.concatenate([shared.value.predict(texts[k : k + 512]) for k in range(0, len(texts), 512)])
-        return {f"p_{c}": p[:, k] for k, c in enumerate(CHAIN)} | {"predicted_toxic": (p.max(1) >= threshold).astype(np.int32)}
+        return {f"p_{c}": p[:, k] for k, c in enumerate(CHAIN)} | {"predicted_toxic": (p[:, -1] >= threshold).astype(np.int32)}
 
     added = [T.StructField(f"p_{c}", T.DoubleType()) for c in CHAIN] + [T.StructField("predicted_toxic", T.IntegerType())]
     return map_texts(df, run, added, text, keep)

@@ -507,3 +507,70 @@ def test_ogg_tables(spark, docs, none):
     broken = spark.createDataFrame([(1, b"nothing"), (2, None), (3, b"")], "k int, media binary")
     assert [r["media_error"] is not None for r in ogg.features(broken).collect()] == [True, True, True]
     assert ogg.features(ogg.store(none)).count() == 0
+
+
+# --- further cases ------------------------------------------------------------------------------------------------------
+
+
+def test_licenses_of_like_wording():
+    """Each notice is found under its own name and no other, also where all but a word is that of another license."""
+    index = licenses.build()
+    for name, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            found = index.find("some words before. " + notice + " some words after")
+            assert [(f["license"], f["coverage"]) for f in found] == [(name, 1.0)], notice
+    gpl = licenses.TEMPLATES["GPL-3.0"][1]
+    assert [f["license"] for f in index.find(gpl.replace("version 3", "version 2"))] == ["GPL-2.0"]
+    assert index.find(gpl.replace("version 3", "version 7")) == []
+    assert [f["license"] for f in index.find(gpl.replace("GNU General", "GNU Affero General"))] == ["AGPL-3.0"]
+
+
+def test_awkward_rows_with_all_columns_and_licenses(docs):
+    df = clash(docs, "licenses", "_text")
+    got = licenses.scan_licenses(df)
+    assert got.columns == [c for c in df.columns if c != "licenses"] + ["licenses"]
+    assert got.count() == docs.count() and all(r["licenses"] == [] for r in got.collect())
+
+
+def test_chain_against_a_plain_loop():
+    """Each link sees the words, without its own seeds, and out-of-fold probabilities of the links before it."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(WORDS[:40]) for _ in range(12)) + rng.choice(["", "", " idiot moron", " stupid hate", " scum loser pathetic"]) for _ in range(200)]
+    toxic = np.array([float(any(w in t for w in ("idiot", "stupid", "scum"))) for t in texts])
+    chain = toxicity.fit(texts, toxic)
+    x = [[float(w in toxicity.words(t)) for w in chain.vocabulary] for t in texts]
+    for name, weights in zip(toxicity.CHAIN, chain.weights, strict=True):
+        seeds = toxicity.CATEGORIES.get(name, ())
+        y = np.array([float(v and (not seeds or any(s in toxicity.words(t) for s in seeds))) for t, v in zip(texts, toxic, strict=True)])
+        own = {b for s in seeds for b in toxicity.words(s)}
+        seen = np.array([[0.0 if k < len(chain.vocabulary) and list(chain.vocabulary)[k] in own else v for k, v in enumerate(row)] for row in x])
+        assert np.allclose(toxicity.logistic(seen, y), weights)
+        assert all(weights[k] == 0 for w, k in chain.vocabulary.items() if w in own)
+        for fold in range(toxicity.FOLDS):
+            rest = [k for k in range(len(x)) if k % toxicity.FOLDS != fold]
+            w = toxicity.logistic(seen[rest], y[rest])
+            for k in range(fold, len(x), toxicity.FOLDS):
+                x[k] = [*x[k], 1 / (1 + np.exp(-np.clip(seen[k] @ w[:-1] + w[-1], -30, 30)))]
+
+
+def test_forest_against_plain_descent():
+    rows = secrets.labelled_findings(120, seed=3)
+    x = np.array([secrets.features(t, s, e, rule, path) for t, s, e, rule, path, _ in rows])
+    forest = secrets.grow(x, np.array([r[-1] for r in rows], dtype=float), trees=7)
+    for row, score in zip(x, forest.score(x), strict=True):
+        leaves = []
+        for k in forest.roots:
+            while forest.feature[k] >= 0:
+                k = forest.child[k] + int(row[forest.feature[k]] > forest.threshold[k])
+            leaves.append(forest.value[k])
+        assert np.isclose(score, np.mean(leaves))
+
+
+def test_characters_without_a_piece():
+    from sentencepiece import SentencePieceProcessor
+
+    path = sentencepiece_bpe.default_model()
+    with open(path, "rb") as f:
+        bpe = sentencepiece_bpe.load(f.read())
+    text = "".join(chr(c) for c in (*range(0x80, 0x800, 37), *range(0x4E00, 0x9FFF, 97), *range(0x1F300, 0x1F700, 11), 0x10FFFD, 7))
+    assert bpe.encode([text])[0].tolist() == [bpe.bos, *SentencePieceProcessor(model_file=path).encode(text), bpe.eos]
