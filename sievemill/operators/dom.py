@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
@@ -19,8 +20,10 @@ VOID = frozenset("area base br col embed hr img input keygen link menuitem meta
 CONTAINERS = {"script": "script", "style": "style", "template": "template"}
 #: Attributes that are lists of words.
 LISTS = frozenset(("class", "rel", "rev", "accesskey", "headers", "accept-charset", "sandbox", "archive", "sizes"))
-#: Elements whose text is kept: stripped strings in a row, for code as it is.
+#: Elements whose text is asked for: the stripped strings inside, in a row.  Strings of open elements follow each other, so
+#: an element has a place and a size in the page's `spoken`, and no copy of what may stand in many elements at once.
 SPOKEN = frozenset("title h1 h2 h3 h4 h5 h6 p li a button label".split())
+#: Elements whose own strings are kept as they are.
 CODE = frozenset(("script", "style"))
 #: Attributes that can hide an element; the beginning of such an element's text is kept.
 HIDING = {"style", "hidden", "aria-hidden"}
@@ -40,7 +43,9 @@ ELEMENT = T.StructType(
         T.StructField("n_child", T.IntegerType()),
         T.StructField("tag", T.StringType()),
         T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("text", T.StringType()),
+        T.StructField("at", T.IntegerType()),
+        T.StructField("size", T.IntegerType()),
+        T.StructField("code", T.StringType()),
         T.StructField("preview", T.StringType()),
         T.StructField("url", T.StringType()),
         T.StructField("domain", T.StringType()),
@@ -51,6 +56,7 @@ DOM = T.StructType(
     [
         T.StructField("elements", T.ArrayType(ELEMENT)),
         T.StructField("texts", T.ArrayType(TEXT)),
+        T.StructField("spoken", T.BinaryType()),
         T.StructField("root_children", T.IntegerType()),
         T.StructField("error", T.StringType()),
     ]
@@ -65,6 +71,8 @@ class _Builder(HTMLParser):
         self.elements: list[dict] = []
         self.strings: list[tuple[int, str, str]] = []  # element (-1: document), kind, string
         self.open: list[int] = []
+        self.kinds: list[str] = ["text"]  # of strings in each open element
+        self.opened: Counter[str] = Counter()
         self.pending: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -78,7 +86,7 @@ class _Builder(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self._flush()
-        if tag not in VOID and any(self.elements[k]["tag"] == tag for k in self.open):
+        if tag not in VOID and self.opened[tag]:
             while self._end() != tag:
                 pass
 
@@ -103,21 +111,26 @@ class _Builder(HTMLParser):
         for name, value in attrs:
             value = value or ""
             found[name] = " ".join(value.split()) if name in LISTS else value if name == "type" or name.startswith("on") else value.strip()
-        self.elements.append({"ix": len(self.elements), "parent": self.open[-1] if self.open else -1, "tag": tag, "attrs": found})
-        self.open.append(len(self.elements) - 1)
+        ix = len(self.elements)
+        self.elements.append({"ix": ix, "parent": self.open[-1] if self.open else -1, "tag": tag, "attrs": found, "strings": [len(self.strings), 0]})
+        self.open.append(ix)
+        self.kinds.append(CONTAINERS.get(tag, self.kinds[-1]))
+        self.opened[tag] += 1
 
     def _end(self) -> str:
         self._flush()
-        k = self.open.pop()
-        self.elements[k]["end"] = len(self.elements) - 1
-        return self.elements[k]["tag"]
+        closed = self.elements[self.open.pop()]
+        self.kinds.pop()
+        self.opened[closed["tag"]] -= 1
+        closed["end"] = len(self.elements) - 1
+        closed["strings"][1] = len(self.strings)
+        return closed["tag"]
 
     def _flush(self) -> None:
         if self.pending:
             data = "".join(self.pending)
             self.pending = []
-            kind = next((CONTAINERS[t] for k in reversed(self.open) if (t := self.elements[k]["tag"]) in CONTAINERS), "text")
-            self.strings.append((self.open[-1] if self.open else -1, kind, data))
+            self.strings.append((self.open[-1] if self.open else -1, self.kinds[-1], data))
 
     def _other(self, kind: str, data: str) -> None:
         self._flush()
@@ -145,6 +158,11 @@ def refresh_target(content: str) -> str:
     return rest[4:].strip().strip("'\"") if rest.lower().startswith("url=") else ""
 
 
+def _beginning(strings: list[str], first: int, last: int) -> str:
+    """The first PREVIEW characters of strings with a blank between; no more strings are read than these need."""
+    return " ".join(strings[first : min(last, first + PREVIEW)])[:PREVIEW]
+
+
 def tree(html: str | None, url: str | None, rules: frozenset[str]) -> dict:
     """A page as DOM.  A null page has no elements; what the tokenizer rejects ends the page there, with an error."""
     b = _Builder()
@@ -166,22 +184,23 @@ def tree(html: str | None, url: str | None, rules: frozenset[str]) -> dict:
         up = b.elements[e["parent"]] if e["parent"] >= 0 else None
         e["depth"] = 1 if e["ix"] == root else 0 if not within else 2 if e["parent"] == root else up["depth"] + 1
         e["chain"] = e["sib"] if not within or e["parent"] == root else max(up["chain"], e["sib"])
-    inside: dict[int, list[str]] = {}
     code: dict[int, list[str]] = {}
+    spoken: list[str] = []
+    before, places = [0], [0]  # spoken strings, and their bytes, before each string
     for owner, kind, data in b.strings:
         if kind in ("script", "style"):
             code.setdefault(owner, []).append(data)
         if kind in ("text", "cdata") and (short := data.strip()):
-            while owner >= 0:
-                e = b.elements[owner]
-                if e["tag"] in SPOKEN or e["attrs"].keys() & HIDING:
-                    inside.setdefault(owner, []).append(short)
-                owner = e["parent"]
+            spoken.append(short)
+            places.append(places[-1] + len(short.encode()))
+        before.append(len(spoken))
     for e in b.elements:
         tag, attrs = e["tag"], e["attrs"]
+        first, last = (before[k] for k in e.pop("strings"))
         e["n_child"] = children.get(e["ix"], 0)
-        e["text"] = "".join(code.get(e["ix"], ())) if tag in CODE else "".join(inside.get(e["ix"], ())) if tag in SPOKEN else None
-        e["preview"] = " ".join(inside.get(e["ix"], ()))[:PREVIEW] if attrs.keys() & HIDING else None
+        e["at"], e["size"] = (places[first], places[last] - places[first]) if tag in SPOKEN else (None, None)
+        e["code"] = "".join(code.get(e["ix"], ())) if tag in CODE else None
+        e["preview"] = _beginning(spoken, first, last) if attrs.keys() & HIDING else None
         ref = attrs.get(TARGETS.get(tag, ""))
         if tag == "meta" and attrs.get("http-equiv", "").strip().lower() == "refresh":
             ref = refresh_target(attrs.get("content", "").strip()) or None
@@ -194,7 +213,7 @@ def tree(html: str | None, url: str | None, rules: frozenset[str]) -> dict:
     texts = [
         {"parent": b.elements[k]["tag"] if k >= 0 else DOCUMENT, "kind": kind, "text": data.strip()} for k, kind, data in b.strings if data.strip()
     ]
-    return {"elements": b.elements, "texts": texts, "root_children": children.get(root, 0), "error": error}
+    return {"elements": b.elements, "texts": texts, "spoken": "".join(spoken).encode(), "root_children": children.get(root, 0), "error": error}
 
 
 def parse(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -8,6 +8,10 @@ from sievemill.functions import text, urls
 from sievemill.functions.suffixes import NONE
 from sievemill.operators import scripts, structure, texts
 from sievemill.operators.dom import parse
+from sievemill.plans.lineage import cut
+
+#: So many sites are broadcast; of more, those with more than pages / HOT_SHARE pages (fewer than HOT_SHARE sites).
+BROADCAST_SITES, HOT_SHARE = 50_000, 2_000
 
 
 def _struct(names: list[str], prefix: str) -> Column:
@@ -59,15 +63,29 @@ def with_text(parsed: DataFrame) -> DataFrame:
 
 
 def with_home(pages: DataFrame, home: str | None = None, site: str | None = None, order: str = "pos") -> DataFrame:
-    """pages with the column home_domain: as given, or that of the first page (by order) of each site that has one."""
+    """pages with the column home_domain: as given, or that of the first page (by order) of each site that has one.
+
+    Up to BROADCAST_SITES sites are broadcast, and no HTML moves.  Of more sites, those with over pages / HOT_SHARE pages are
+    broadcast, and only the pages of the others are shuffled.  Pages without a site have no home domain.
+    """
     if home is not None:
         return pages.withColumn("home_domain", F.lit(home))
     found = pages.withColumn("_domain", urls.domain(F.col("url")))
-    first = F.coalesce(F.min_by("_domain", F.struct(order, "url")), F.lit(NONE)).alias("home_domain")
-    named = found.where(F.col("_domain") != NONE)
+    first = F.coalesce(F.min_by("_domain", F.when(F.col("_domain") != NONE, F.struct(order, "url"))), F.lit(NONE)).alias("home_domain")
     if site is None:
-        return pages.withColumn("home_domain", F.lit(named.agg(first).first()["home_domain"]))
-    return pages.join(named.groupBy(site).agg(first), site, "left").fillna(NONE, ["home_domain"])
+        return pages.withColumn("home_domain", F.lit(found.agg(first).first()["home_domain"]))
+    homes = cut(found.where(F.col(site).isNotNull()).groupBy(site).agg(first, F.count(F.lit(1)).alias("_n")))
+    sites, total = homes.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    if sites <= BROADCAST_SITES:
+        return pages.join(F.broadcast(homes.drop("_n")), site, "left").fillna(NONE, ["home_domain"])
+    limit = total // HOT_SHARE
+    hot, cold = (homes.where(c).drop("_n") for c in (F.col("_n") > limit, F.col("_n") <= limit))
+    rest = pages.where(F.col(site).isNotNull()).join(F.broadcast(hot.select(site)), site, "left_anti")
+    return (
+        pages.join(F.broadcast(hot), site)
+        .unionByName(rest.join(cold, site))
+        .unionByName(pages.where(F.col(site).isNull()).withColumn("home_domain", F.lit(NONE)))
+    )
 
 
 def analyze_pages(pages: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def _is_data(e: Column) -> Column:
 
 def inline_code(dom: Column) -> Column:
     """The bodies of scripts that run, without those that are blank."""
-    return F.filter(F.transform(F.filter(_inline(dom), lambda e: ~_is_data(e)), lambda e: strip(e["text"])), lambda c: c != "")
+    return F.filter(F.transform(F.filter(_inline(dom), lambda e: ~_is_data(e)), lambda e: strip(e["code"])), lambda c: c != "")
 
 
 def inline_scripts(dom: Column) -> Column:

@@ -53,6 +53,16 @@ def first(values: Column, default: str = "") -> Column:
     return F.coalesce(F.try_element_at(values, F.lit(1)), F.lit(default))
 
 
+def said(spoken: Column, e: Column) -> Column:
+    """The text in an element.  Bytes are cut in time that doesn't depend on where they stand."""
+    return F.substring(spoken, e["at"] + 1, e["size"]).cast("string")
+
+
+def title(dom: Column) -> Column:
+    """The text of the first title."""
+    return F.coalesce(said(dom["spoken"], F.try_element_at(elements(dom, "title"), F.lit(1))), F.lit(""))
+
+
 def identifier(e: Column) -> Column:
     """tag#id.class.class.class, at most 80 characters."""
     own = attr(e, "id")
@@ -128,9 +138,8 @@ def is_email(f: Column) -> Column:
 
 def forms(dom: Column, home: Column) -> Column:
     """Every form with the fields inside it; fields of a form inside a form count for both."""
-    inputs = elements(dom, "input", "select", "textarea")
 
-    def one(f: Column) -> Column:
+    def one(f: Column, inputs: Column) -> Column:
         return let(F.transform(F.filter(inputs, lambda e: (e["ix"] > f["ix"]) & (e["ix"] <= f["end"])), field), lambda fields: form(f, fields))
 
     def form(f: Column, fields: Column) -> Column:
@@ -150,7 +159,7 @@ def forms(dom: Column, home: Column) -> Column:
             fields.alias("fields"),
         )
 
-    return F.transform(elements(dom, "form"), one)
+    return let(elements(dom, "input", "select", "textarea"), lambda inputs: F.transform(elements(dom, "form"), lambda f: one(f, inputs)))
 
 
 def _squeezed(css: Column) -> Column:
@@ -166,7 +175,7 @@ def _rels(e: Column) -> Column:
 
 
 def css(dom: Column, home: Column) -> Column:
-    blocks = F.transform(elements(dom, "style"), lambda e: e["text"])
+    blocks = F.transform(elements(dom, "style"), lambda e: e["code"])
     found = F.filter(elements(dom, "link"), lambda e: raw(e, "href").isNotNull() & F.array_contains(_rels(e), "stylesheet"))
     sheets = F.transform(found, lambda e: F.struct(attr(e, "href").alias("href"), *_ref(e, home)))
 
@@ -243,7 +252,7 @@ def metadata(dom: Column) -> Column:
         ),
     )
     return F.struct(
-        first(F.transform(elements(dom, "title"), lambda e: e["text"])).alias("title"),
+        title(dom).alias("title"),
         named("description").alias("description"),
         named("keywords").alias("keywords"),
         first(F.transform(elements(dom, "html"), lambda e: attr(e, "lang"))).alias("lang"),

@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 from sievemill.functions import text
 from sievemill.functions.numbers import rounded
-from sievemill.functions.strings import collapse
-from sievemill.operators.structure import attr, elements, first, raw
+from sievemill.functions.strings import collapse, let
+from sievemill.operators.structure import attr, elements, first, raw, said, title
 
 #: Text directly in one of these isn't seen.
 UNSEEN = ("script", "style", "noscript", "template", "head", "title", "[document]")
@@ -27,7 +27,7 @@ def _filled(values: Column) -> Column:
 def structured(dom: Column) -> Column:
     """Texts by the slot in which they stand."""
     def of(*tags: str) -> Column:
-        return _filled(F.transform(elements(dom, *tags), lambda e: e["text"]))
+        return let(dom["spoken"], lambda spoken: _filled(F.transform(elements(dom, *tags), lambda e: said(spoken, e))))
 
     def attributes(name: str, *tags: str) -> Column:
         return _filled(F.transform(F.filter(elements(dom, *tags), lambda e: raw(e, name).isNotNull()), lambda e: attr(e, name)))
@@ -35,7 +35,7 @@ def structured(dom: Column) -> Column:
     pressed = F.filter(elements(dom, "input"), lambda e: F.lower(F.coalesce(raw(e, "type"), F.lit(""))).isin("submit", "button", "reset"))
     description = F.filter(elements(dom, "meta"), lambda e: F.lower(attr(e, "name")) == "description")
     return F.struct(
-        first(F.transform(elements(dom, "title"), lambda e: e["text"])).alias("title"),
+        title(dom).alias("title"),
         first(F.transform(description, lambda e: attr(e, "content"))).alias("meta_description"),
         of("h1", "h2", "h3", "h4", "h5", "h6").alias("headings"),
         of("p").alias("paragraphs"),

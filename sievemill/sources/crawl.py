@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,6 +13,9 @@ from sievemill.operators.dom import parse
 from sievemill.operators.structure import link_targets
 from sievemill.plans.lineage import cut
 
+#: Levels whose URLs are kept apart until they are merged, so what is known isn't written again at each level.
+MERGE = 16
+
 
 def stored(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """A page source that looks pages (norm_url, html) up; html is null for those that can't be fetched."""
@@ -29,7 +33,7 @@ def crawl(spark: SparkSession, seed: str, source: Callable[[DataFrame], DataFram
     if home == NONE:
         return spark.createDataFrame([], "pos long, url string, html string")
     frontier = cut(spark.createDataFrame([(0, seed)], "ord long, url string").withColumn("norm", urls.normalized(F.col("url"))))
-    known = frontier.select("norm")
+    known = [frontier.select("norm")]
     found: DataFrame | None = None
     level = 0
     while frontier.take(1):
@@ -38,10 +42,12 @@ def crawl(spark: SparkSession, seed: str, source: Callable[[DataFrame], DataFram
         found = part if found is None else found.union(part)
         links = parse(fetched).select("ord", F.posexplode(link_targets(F.col("dom"))).alias("k", "url"))
         links = links.where(urls.domain(F.col("url")) == home).withColumn("norm", urls.normalized(F.col("url")))
-        new = links.groupBy("norm").agg(F.min(F.struct("ord", "k", "url")).alias("first")).join(known, "norm", "left_anti")
+        new = links.groupBy("norm").agg(F.min(F.struct("ord", "k", "url")).alias("first")).join(reduce(DataFrame.union, known), "norm", "left_anti")
         # Sorted by range, the running number of a row grows with its place in the queue.
         new = new.orderBy("first.ord", "first.k").select(F.monotonically_increasing_id().alias("ord"), F.col("first.url").alias("url"), "norm")
         frontier = cut(new)
-        known = cut(known.union(frontier.select("norm")))
+        known.append(frontier.select("norm"))
+        if len(known) >= MERGE:
+            known = [cut(reduce(DataFrame.union, known))]
         level += 1
     return found.orderBy("level", "ord").select(F.monotonically_increasing_id().alias("pos"), "url", "html")

@@ -5,8 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sievemill.operators import structure
-from sievemill.operators.dom import parse
+from sievemill.functions.suffixes import NONE
+from sievemill.operators import pages, structure, texts
+from sievemill.operators.dom import parse, tree
 from sievemill.operators.pages import analyze_pages
 from sievemill.operators.payloads import payloads
 from sievemill.plans.analysis import analyze_site
@@ -209,3 +210,32 @@ def test_payloads(site):
     assert json.loads(by["inline_script"]["context"]) == {"home_domain": "example.com", "page_title": "Win a prize", "script_index": 0, "chunk_index": 0, "chunk_total": 1}
     assert json.loads(rows[4]["features"]) == {"has_meta_refresh": True, "meta_refresh_off_domain": True, "title": "Win a prize"}
     assert all(len(r["content"]) <= 5 for r in payloads(site[0], limit=5).collect())
+
+
+def test_unclosed_elements_share_their_text():
+    n = 2000
+    got = tree("<p>" + "<p>några ord".join([""] * (n + 1)), LOGIN, frozenset())
+    assert sum(len(e["code"] or "") for e in got["elements"]) == 0 and len(got["spoken"]) == n * len("några ord".encode())
+    assert (got["elements"][1]["at"], got["elements"][1]["size"]) == (0, len(got["spoken"]))
+    assert got["elements"][n]["size"] == len("några ord".encode())
+
+
+def test_texts_of_elements_are_those_of_a_plain_walk(spark):
+    html = "a<h1>é<b>ü </b><p>ß &amp; x<li>漢字<script>no</script><p hidden>q<style>no</style></h1>z<title>𝕏y</title></div></p>end"
+    got = spark.createDataFrame([(LOGIN, html)], "url string, html string")
+    s = parse(got).select(texts.structured(F.col("dom")).alias("s")).first()["s"]
+    assert (s["title"], s["headings"], s["paragraphs"], s["list_items"]) == ("𝕏y", ["éüß & x漢字q"], ["ß & x漢字q", "q"], ["漢字q"])
+
+
+def test_home_domains_of_many_sites(spark, monkeypatch):
+    rows = [("big", k, f"https://big.com/{k}") for k in range(300)] + [(f"s{k}", 2, f"https://s{k}.org/") for k in range(40)]
+    rows += [("s0", 1, "http://localhost/"), ("bare", 1, "http://localhost/"), (None, 1, "https://none.com/"), (None, 2, "https://none.com/")]
+    table = spark.createDataFrame(rows, "site string, pos int, url string")
+    few = pages.with_home(table, site="site").select("site", "pos", "url", "home_domain")
+    monkeypatch.setattr(pages, "BROADCAST_SITES", 3)
+    monkeypatch.setattr(pages, "HOT_SHARE", 10)
+    many = pages.with_home(table, site="site").select("site", "pos", "url", "home_domain")
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    home = {r["site"]: r["home_domain"] for r in many.collect()}
+    assert len(few.collect()) == len(rows) and (home["big"], home["s0"], home["s39"]) == ("big.com", "s0.org", "s39.org")
+    assert home["bare"] == home[None] == NONE
