@@ -168,10 +168,11 @@ def measured(df: DataFrame, text: str = "text", keep: list[str] | None = None) -
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", limit: int = MAX_LABELLED) -> Trees:
     """A model fitted on the labelled documents whose crc32(id as text) mod 5 isn't 0, at most `limit` of them, those with
-    the smallest hash of their id.  Rows with a null id or label aren't used; of conflicting labels the mean counts, rounded."""
+    the smallest hash of their id.  Rows with a null id or label aren't used; of conflicting labels the mean counts, rounded.
+    Of rows that share an id one is used (that of the least statistics), so no more than `limit` come to the driver."""
     sample = learnable(labels, label, id_col, limit)
     rows = docs.select(F.col(q(id_col)).alias("_id"), F.col("text")).join(F.broadcast(sample), "_id")
-    got = measured(rows, keep=["_id", "label"]).orderBy("_id").limit(2 * limit).collect()
+    got = measured(rows, keep=["_id", "label"]).groupBy("_id").agg(F.first("label").alias("label"), F.min("stats").alias("stats")).orderBy("_id").collect()
     if not got:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     return fit(np.array([r["stats"] for r in got]), np.array([r["label"] for r in got], dtype=np.float64))

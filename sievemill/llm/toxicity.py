@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from sievemill.llm.boosting import labels, learnable
 from sievemill.llm.common import documents, map_texts, q
 
-#: The most labelled rows that the chain is fitted on, and the most words that its models see.
+#: The most labelled rows that the chain is fitted on.
 MAX_LABELLED = 6_000
-MAX_WORDS = 256
-MIN_DOCUMENTS = 8
+#: A word is a feature if it is in so many documents, and the likelihood ratio of its counts is so large (half of G, which
+#: has one degree of freedom: p < 0.001).
+MIN_DOCUMENTS, LEAST_RATIO = 8, 5.4
 FOLDS = 5
 #: Word beginnings of these lengths are features beside whole words.
 STEMS = (4, 5, 6)
@@ -95,8 +96,9 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = L2, steps: int = 30) -> n
 
 
 def vocabulary_of(texts: list[str], toxic: np.ndarray) -> dict[str, int]:
-    """The MAX_WORDS words whose presence tells most about the label, by the signed root of G, of those in at least
-    MIN_DOCUMENTS documents; seed words always.  Words of toxic documents only are counted, a text at a time."""
+    """The words whose presence tells of the label, by a likelihood ratio of at least LEAST_RATIO, of those in at least
+    MIN_DOCUMENTS documents, however many they are; seed words always.  Words of toxic documents only are counted, a text
+    at a time."""
     n1, n0 = max(1.0, toxic.sum()), max(1.0, (1 - toxic).sum())
     one: Counter[str] = Counter()
     for text, t in zip(texts, toxic, strict=True):
@@ -114,10 +116,10 @@ def vocabulary_of(texts: list[str], toxic: np.ndarray) -> dict[str, int]:
         if a + b >= MIN_DOCUMENTS and a / n1 > b / n0:
             p, q0, r = a / n1, b / n0, (a + b) / (n1 + n0)
             score[w] = a * np.log(p / r) + (b * np.log(q0 / r) if b else 0)
-    best = sorted(score, key=lambda w: (-score[w], w))
+    best = sorted((w for w in score if score[w] >= LEAST_RATIO), key=lambda w: (-score[w], w))
     seeds = [w for ws in CATEGORIES.values() for w in ws]
     chosen = dict.fromkeys(seeds + best)
-    return {w: k for k, w in enumerate(list(chosen)[:MAX_WORDS])}
+    return {w: k for k, w in enumerate(chosen)}
 
 
 def fit(texts: list[str], toxic: np.ndarray) -> Chain:
@@ -145,7 +147,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Chain:
 
 def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", limit: int = MAX_LABELLED) -> Chain:
     """A chain fitted on at most `limit` labelled documents, those of the smallest hash of their id; each set of words
-    once.  Rows whose crc32(id as text) mod 5 is 0 are left out, so they can measure it."""
+    once, and of rows that share an id one (that of the least words).  Rows whose crc32(id as text) mod 5 is 0 are left out, so they can measure it."""
     sample = learnable(labelled, "toxic", id_col, limit)
     rows = docs.select(F.col(q(id_col)).alias("_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "_id")
     found = map_texts(
@@ -154,8 +156,8 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", limit: i
         [T.StructField("words", T.StringType())],
         keep=["_id", "label"],
     )
-    got = found.orderBy("_id", "words").limit(2 * limit)
-    once = {r["words"]: r["label"] for r in reversed(list(got.toLocalIterator()))}
+    got = found.groupBy("_id").agg(F.first("label").alias("label"), F.min("words").alias("words")).orderBy("_id")
+    once = {r["words"]: r["label"] for r in reversed(got.collect())}
     return fit(list(once), np.array(list(once.values()), dtype=np.float64))
 
 

@@ -574,3 +574,24 @@ def test_characters_without_a_piece():
         bpe = sentencepiece_bpe.load(f.read())
     text = "".join(chr(c) for c in (*range(0x80, 0x800, 37), *range(0x4E00, 0x9FFF, 97), *range(0x1F300, 0x1F700, 11), 0x10FFFD, 7))
     assert bpe.encode([text])[0].tolist() == [bpe.bos, *SentencePieceProcessor(model_file=path).encode(text), bpe.eos]
+
+
+def test_a_word_of_toxic_texts_is_a_feature_however_many_there_are():
+    letters = "abcdefghijklmnopqrst"
+    slurs = [a + b + "um" for a in letters for b in letters]
+    toxic = [f"{'so' if k % 2 else 'very'} {w}" for w in slurs for k in range(toxicity.MIN_DOCUMENTS)]
+    clean = ["so fine" if k % 2 else "very fine" for k in range(len(toxic))]
+    seen = toxicity.vocabulary_of(toxic + clean, np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
+    assert set(slurs) <= seen.keys() and not {"so", "very", "fine"} & seen.keys()
+
+
+def test_repeated_ids_leave_no_labelled_document_out(spark):
+    rows = [(k, f"{'idiot scum' if k % 2 else 'fine day'} {WORDS[k]}") for k in range(40)] + [(1, f"idiot {WORDS[k]}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = spark.createDataFrame([(k, k % 2, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labelled, limit=40)
+    assert "idiot" in chain.vocabulary and (chain.predict(["such an idiot, scum"])[0, -1] > chain.predict(["a fine day"])[0, -1])
+    again = toxicity.train(docs.repartition(7), labelled, limit=40)
+    assert chain.vocabulary == again.vocabulary and all(np.array_equal(a, b) for a, b in zip(chain.weights, again.weights, strict=True))
+    model = boosting.train(docs, labelled, limit=40)
+    assert np.array_equal(model.value, boosting.train(docs.repartition(7), labelled, limit=40).value)
