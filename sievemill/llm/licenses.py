@@ -96,22 +96,79 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
+    "0BSD": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, "
+        "and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the "
+        "Software is furnished to do so, all subject to the following:",
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software "
+        "for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the "
+        "following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote "
+        "the original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+        "appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be "
+        "misrepresented as being the original software. 3. This notice may not be removed or altered from any source "
+        "distribution.",
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    "CC0-1.0": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to "
+        "this software to the public domain worldwide. This software is distributed without any warranty.",
+        "Licensed under CC0 1.0.",
+    ),
     "Unlicense": (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
         "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
         "for any purpose, commercial or non-commercial, and by any means.",
     ),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.",),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
+    "CC-BY-NC-4.0": (
+        "Licensed under CC BY-NC 4.0.",
+        "under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    ),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "under a Creative Commons Attribution 4.0 International License"),
+    "CC-BY-SA-4.0": (
+        "Licensed under CC BY-SA 4.0.",
+        "under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    ),
+}
+# Names of public licenses in notices.
+NAMES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License",),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1"),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License"),
+    "ISC": ("ISC License",),
+    "BSL-1.0": ("Boost Software License, Version 1.0",),
+    "Zlib": ("zlib License",),
+    "EPL-2.0": ("Eclipse Public License, Version 2.0", "Eclipse Public License 2.0"),
+    "Unlicense": ("Unlicense",),
 }
-TEMPLATES = {name: (*texts, f"SPDX-License-Identifier: {name}") for name, texts in TEMPLATES.items()}
+TEMPLATES = {
+    name: (*texts, *(f"under the {of}{x}" for x in NAMES.get(name, ()) for of in ("", "terms of the ")), f"SPDX-License-Identifier: {name}")
+    for name, texts in TEMPLATES.items()
+}
 
-#: What tells a license from those of like wording: words that a finding must hold, and words that it must not.
+#: What tells a license from those of like wording: words that a finding must hold (of notices of under SHORT words, all), and
+#: words that it must not.
 MARKS: dict[str, tuple[str, str]] = {
     "GPL-3.0": ("3", "lesser affero"), "GPL-2.0": ("2", "lesser affero"), "AGPL-3.0": ("affero 3", "lesser"), "LGPL-3.0": ("lesser 3", "affero"),
-    "LGPL-2.1": ("lesser 2 1", "affero"), "BSD-3-Clause": ("3", ""), "CC-BY-4.0": ("4", "nc sa"), "CC-BY-SA-4.0": ("sa 4", "nc"), "CC-BY-NC-4.0": ("nc 4", "sa"),
-    "MPL-2.0": ("2", ""), "Apache-2.0": ("license", ""),
+    "LGPL-2.1": ("lesser 2 1", "affero"), "BSD-3-Clause": ("3", ""), "CC-BY-4.0": ("", "nc sa nd noncommercial sharealike noderivatives"),
+    "CC-BY-SA-4.0": ("", "nc nd noncommercial noderivatives"), "CC-BY-NC-4.0": ("", "sa nd sharealike noderivatives"),
+    "MPL-2.0": ("2", ""), "Apache-2.0": ("license", ""), "EPL-2.0": ("eclipse 2", ""),
 }
 #: Templates that begin so match whole, so they need no marks.
 _TAG = "SPDX"
@@ -214,10 +271,12 @@ def build(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> Index:
     for name, texts in templates.items():
         for text in texts:
             names.append(name)
-            tagged = text.startswith(_TAG)
-            for to, listed in zip((needs, never), ("", "") if tagged else MARKS.get(name, ("", "")), strict=True):
-                to.append({numbers.setdefault(w, len(numbers) + 1) for w in listed.split()})
             rows.append([numbers.setdefault(w, len(numbers) + 1) for w in map(str.lower, _TOKEN.findall(text))])
+            marks, others = ("", "") if text.startswith(_TAG) else MARKS.get(name, ("", ""))
+            for to, listed in ((needs, marks), (never, others)):
+                to.append({numbers.setdefault(w, len(numbers) + 1) for w in listed.split()})
+            if len(rows[-1]) < SHORT:
+                needs[-1] = set(rows[-1])
     places: dict[int, list[tuple[int, int]]] = {}
     for t, row in enumerate(rows):
         codes = _codes(np.array(row, dtype=np.int64), len(numbers) + 1)

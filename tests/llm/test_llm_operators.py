@@ -523,6 +523,15 @@ def test_licenses_of_like_wording():
     assert [f["license"] for f in index.find(gpl.replace("version 3", "version 2"))] == ["GPL-2.0"]
     assert index.find(gpl.replace("version 3", "version 7")) == []
     assert [f["license"] for f in index.find(gpl.replace("GNU General", "GNU Affero General"))] == ["AGPL-3.0"]
+    for text, name in (
+        ("It is available under the terms of the MIT License, see there.", "MIT"),
+        ("You may use it under the GNU Lesser General Public License v3 or later.", "LGPL-3.0"),
+        ("Shared under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        ("See under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", None),
+        ("It is under the BSD License, the GNU Lesser General Public License, version 2 and the Eclipse Public License v1.0.", None),
+        (licenses.TEMPLATES["ISC"][0].split(", provided")[0], "0BSD"),
+    ):
+        assert [f["license"] for f in index.find(text)] == ([name] if name else []), text
 
 
 def test_awkward_rows_with_all_columns_and_licenses(docs):
