@@ -30,7 +30,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, texts whose five-word shingles have a Jaccard similarity of 0.8 or
-    more: that with the smallest id (null last)."""
+    more: that with the smallest id (null last).  SimHash fingerprints and their deletion variants link first; pairs
+    whose fingerprints differ in more bits are found by shared shingles."""
     return exact.keep_rows(docs, jaccard.near_duplicates(docs))
 
 

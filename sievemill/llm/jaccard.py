@@ -1,4 +1,5 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, complete and verified (near_dedup stage of the pipeline)."""
+"""Near-duplicates by SimHash fingerprints, verified by the Jaccard similarity of word shingles, and complete (near_dedup
+stage of the pipeline)."""
 
 from __future__ import annotations
 
@@ -12,10 +13,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from sievemill.llm.common import attach, components, cut, map_texts, q, text_of
 from sievemill.llm.exact import BROADCAST_KEYS
-from sievemill.llm.simhash import runs, within
+from sievemill.llm.simhash import links, majority, runs, within
 
 #: Words in a shingle, and the least similarity of a pair as a fraction.
 WORDS, SIMILAR = 5, (4, 5)
+#: Sets whose fingerprints differ in up to so many bits are compared first.
+DIFFER = 2
 SEED = 42
 #: Texts that share a shingle are compared pairwise if they are up to so many.
 BUCKET = 48
@@ -83,13 +86,31 @@ def most_common(na: int, a: bytes, nb: int, b: bytes) -> int:
     return min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
 
 
-def _bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """pairs (a, b) with na, nb and most, the sizes of their sets and the bound of most_common."""
+def _near_fingerprints(marks: DataFrame, max_bits: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints differ in at most max_bits bits.  marks: (sig, fingerprint), a node once.
+
+    Of the nodes with one fingerprint the least stands for it in the links to other fingerprints, and is paired with
+    the others; so pairs are as many as these nodes and the links of distinct fingerprints.
+    """
+    least = cut(marks.groupBy("fingerprint").agg(F.min("sig").alias("least"), F.count(F.lit(1)).alias("n")))
+    same = attach(marks, least.where("n > 1"), "fingerprint", "n", marks.count()).select(F.col("least").alias("a"), F.col("sig").alias("b"))
+    of = lambda k: least.select(F.col("fingerprint").alias(k), F.col("least").alias(f"n{k}"))
+    linked = cut(links(least.select("fingerprint"), max_bits)).join(of("a"), "a").join(of("b"), "b")
+    return cut(_pairs(same.union(linked.select("na", "nb"))))
+
+
+def _bounded(pairs: DataFrame, sketches: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """pairs (a, b) with na, nb and most, the sizes of their sets and the bound of most_common; without the pairs within
+    one component of parts (node, root), which need no comparison."""
     weights = pairs.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").count()
-    known = cut(sketches.join(weights, "sig"))
+    known = sketches.join(weights, "sig").withColumn("own", F.col("sig"))
+    if parts is not None:
+        known = known.join(parts.withColumnRenamed("node", "sig"), "sig", "left").withColumn("own", F.coalesce("root", "sig"))
+    known = cut(known)
     total = pairs.count()
-    of = lambda k: known.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"), F.col("count").alias(f"w{k}"))
-    both = attach(attach(pairs, of("a"), "a", "wa", total), of("b"), "b", "wb", total).select("a", "b", "na", "nb", "sa", "sb")
+    of = lambda k: known.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"), F.col("own").alias(f"o{k}"), F.col("count").alias(f"w{k}"))
+    both = attach(attach(pairs, of("a"), "a", "wa", total), of("b"), "b", "wb", total)
+    both = both.where("oa <> ob").select("a", "b", "na", "nb", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,15 +288,19 @@ def _crowd_pairs(led: DataFrame, source: DataFrame, nodes: DataFrame, words: int
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, similar: tuple[int, int] = SIMILAR, bucket: int = BUCKET
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, similar: tuple[int, int] = SIMILAR, bucket: int = BUCKET, max_bits: int = DIFFER
 ) -> DataFrame:
-    """(id, text_hash: xxhash64 of the text, sig, component_id, kept) for each row of df, repeated rows included.
+    """(id, text_hash: xxhash64 of the text, sig, fingerprint, component_id, kept) for each row of df, repeated rows included.
 
     Rows whose sets of shingles have at least the similarity are linked; component_id is the smallest id of the
     rows that can be reached over links.  Of a component one row is kept, that with the smallest id (null last), then
-    hash of the text, then row number.  Equal sets, also empty ones, are one node from the start.  Candidates are
-    the pairs that share a shingle of their prefixes, which misses none; those that a bound on sketches doesn't exclude
-    are verified on the whole sets.
+    hash of the text, then row number.  Equal sets, also empty ones, are one node from the start.
+
+    Each set has a SimHash fingerprint.  Sets whose fingerprints differ in at most max_bits (1 or 2) bits, found by the
+    deletion variants of `simhash.links`, are verified on the whole sets and give the first components.  Most pairs of the
+    similarity differ in more bits, so the others are sought too, in all sets: candidates are
+    the pairs that share a shingle of their prefixes, which misses none; those that are not in one component yet, and
+    that a bound on sketches doesn't exclude, are verified in the same way.
 
     Of a shingle that is in over `bucket` prefixes, or common in a sample of the texts, each text is compared with one of them, the leader.  Those that link to
     it are in one component; other pairs are found by what they differ in from the leader (`_crowd_pairs`), so a crowd of
@@ -303,18 +328,23 @@ def near_duplicates(
         firsts = [prefix(s, frequent, rank, similar) for s in sets]
         hot = [np.isin(x, common, kind="sort") for x in firsts]
         return {
-            "sig": [signature(s) for s in sets], "n": [len(s) for s in sets], "sketch": [sketch(s) for s in sets],
+            "sig": [signature(s) for s in sets], "fingerprint": [majority(s) for s in sets], "n": [len(s) for s in sets], "sketch": [sketch(s) for s in sets],
             "keys": [x[~h] for x, h in zip(firsts, hot, strict=True)], "common": [x[h] for x, h in zip(firsts, hot, strict=True)],
         }
 
     several = T.ArrayType(T.LongType(), False)
-    added = [T.StructField("sig", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("keys", several), T.StructField("common", several)]
+    added = [T.StructField("sig", T.LongType()), T.StructField("fingerprint", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("keys", several), T.StructField("common", several)]
     found = cut(map_texts(source, keys_of, added, keep=["id", "text_hash"]).withColumn("row", F.monotonically_increasing_id()))
-    rows = found.select("id", "text_hash", "sig", "row")
+    rows = found.select("id", "text_hash", "sig", "fingerprint", "row")
 
     repeated = cut(found.groupBy("sig").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sig", "first"))
-    nodes = _with_few(found, repeated, "sig", "left").where("first IS NULL OR first = row").select("sig", "text_hash", "keys", "common", "n", "sketch")
+    nodes = _with_few(found, repeated, "sig", "left").where("first IS NULL OR first = row").select("sig", "fingerprint", "text_hash", "keys", "common", "n", "sketch")
     texts, sketches = nodes.select("sig", "text_hash"), nodes.select("sig", "n", "sketch")
+
+    alike = _near_fingerprints(cut(nodes.select("sig", "fingerprint")), max_bits)
+    likely = _bounded(alike, sketches).where(possible).select("a", "b")
+    settled = _verified(likely, source, texts, words, shared).where(close).select("a", "b")
+
     keyed = nodes.select(F.posexplode("keys").alias("place", "key"), F.col("sig").alias("node"), "n")
     keyed = keyed.select("key", "node", F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("where"))
     meet = _meetings(bucket, similar)
@@ -324,8 +354,8 @@ def near_duplicates(
     candidates = met.where("b IS NOT NULL").select("a", "b")
     near, crowded = _crowd_pairs(_led(many), source, texts, words, similar, shared)
     candidates = cut(_pairs(candidates.union(crowded)))
-    likely = _bounded(candidates, sketches).where(possible).select("a", "b")
-    linked = _verified(likely, source, texts, words, shared).where(close).select("a", "b").union(near)
+    likely = _bounded(candidates, sketches, components(settled)).where(possible).select("a", "b")
+    linked = _verified(likely, source, texts, words, shared).where(close).select("a", "b").union(near).union(settled)
 
     parts = components(linked)
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "row")).alias("best")
@@ -339,6 +369,7 @@ def near_duplicates(
         F.col("id").alias(id_col),
         "text_hash",
         "sig",
+        "fingerprint",
         F.when(F.col("keep_row").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce(F.col("keep_row") == F.col("row"), F.lit(True)).alias("kept"),
     )

@@ -19,6 +19,15 @@ BUCKET = 64
 MOST = 1 << 16
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes, as a signed integer (no hash: 0)."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for start in range(0, len(hashes), 1 << 16):
+        part = hashes[start : start + (1 << 16)]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: str, words: int = 3) -> int:
     """The 64-bit SimHash of the word shingles of a text, as a signed integer (no word: 0)."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
@@ -28,12 +37,7 @@ def fingerprint(text: str, words: int = 3) -> int:
         shingles = [b" ".join(tokens)]
     else:
         shingles = map(b" ".join, zip(*(tokens[k:] for k in range(words)), strict=False))
-    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype=np.uint64)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for start in range(0, len(hashes), 1 << 16):
-        part = hashes[start : start + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+    return majority(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype=np.uint64))
 
 
 def fingerprints(df: DataFrame, text: str = "text", words: int = 3, keep: list[str] | None = None) -> DataFrame:

@@ -81,3 +81,37 @@ def test_one_stays_without_distinct_ids(spark):
     rows = [(i, word(k, 60) + f" tail{n}", "en", "s", 0) for ids, k in groups.items() for n, i in enumerate(ids)]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted((r["text"][0], r["doc_id"]) for r in got) == [("a", None), ("b", 3), ("c", 5)]
+
+
+def test_near_fingerprints_against_brute_force(spark):
+    rng = random.Random(9)
+    values = [0, -1, 5, 5, 5]
+    for _ in range(40):
+        bits = rng.getrandbits(64)
+        for flips in (0, 0, 1, 2, 3):
+            other = bits
+            for k in rng.sample(range(64), flips):
+                other ^= 1 << k
+            values.append(other - (1 << 64) if other >> 63 else other)
+    least = {}
+    for sig, value in enumerate(values):
+        least.setdefault(value, sig)
+    expected = {(least[v], sig) for sig, v in enumerate(values) if least[v] != sig}
+    for v in least:
+        for w in least:
+            if v < w and ((v ^ w) & (2**64 - 1)).bit_count() <= 2:
+                expected.add((min(least[v], least[w]), max(least[v], least[w])))
+    marks = spark.createDataFrame(list(enumerate(values)), "sig long, fingerprint long").repartition(3)
+    got = jaccard._near_fingerprints(marks, 2).collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """With no shingle to meet at, near copies are found by their fingerprints alone, and only those of the similarity."""
+    word = lambda k, n: " ".join(f"{k}{j}" for j in range(n))
+    rows = [(k, word("a", 4000) + f" end{k}", "en", "s", 0) for k in range(6)] + [(k, word(f"c{k}_", 50), "en", "s", 0) for k in (6, 7)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(jaccard, "prefix", lambda found, *_: found[:0])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 6, 7]
+    monkeypatch.setattr(jaccard, "majority", lambda _: 7)  # one fingerprint for all: the check on the sets still decides
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 6, 7]
