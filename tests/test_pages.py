@@ -1,12 +1,13 @@
 """Page operators on small fixtures: all are analysed by one job."""
 
 import json
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from sievemill.functions.suffixes import NONE
-from sievemill.operators import pages, structure, texts
+from sievemill.operators import dom, pages, structure, texts
 from sievemill.operators.dom import parse, tree
 from sievemill.operators.pages import analyze_pages
 from sievemill.operators.payloads import payloads
@@ -239,3 +240,24 @@ def test_home_domains_of_many_sites(spark, monkeypatch):
     home = {r["site"]: r["home_domain"] for r in many.collect()}
     assert len(few.collect()) == len(rows) and (home["big"], home["s0"], home["s39"]) == ("big.com", "s0.org", "s39.org")
     assert home["bare"] == home[None] == NONE
+
+
+def test_doms_are_built_in_batches_of_bounded_size(spark):
+    assert list(dom._cuts([])) == [] and list(dom._cuts([None] * 3)) == [(0, 3)]
+    sizes = [10, None, dom.CHARS, 5, dom.CHARS * 9, *[1] * (2 * dom.PAGES + 1), dom.CHARS // 2, dom.CHARS // 2 + 1]
+    cuts = list(dom._cuts(sizes))
+    assert [k for a, b in cuts for k in range(a, b)] == list(range(len(sizes)))
+    assert all(b - a <= dom.PAGES and (b - a == 1 or sum(s or 0 for s in sizes[a:b]) <= dom.CHARS) for a, b in cuts)
+
+
+def test_page_reports_pass_python_once(spark):
+    got = spark.createDataFrame([(1, LOGIN, "<p>x</p>", "example.com")], "pos int, url string, html string, home_domain string")
+    plan = pages.analyze_pages(got)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_normal_text_is_that_of_the_whole(spark):
+    html = "<p>ﬁ</p>́x<p>́</p>a ̀<b>Å</b>ᄀ<i>ᅡ</i>½´ <p>ＶＥＲＩＦＹ　ﷺ<p>é\u0085 ̧"
+    got = parse(spark.createDataFrame([(LOGIN, html)], "url string, html string"))
+    row = got.select(texts.visible_text(F.col("dom")).alias("v"), texts.normal_text(F.col("dom")).alias("n")).first()
+    assert row["n"] == " ".join(unicodedata.normalize("NFKC", row["v"]).split()) != row["v"]
