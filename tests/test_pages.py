@@ -2,11 +2,12 @@
 
 import json
 import unicodedata
+from urllib.parse import urljoin, urlsplit
 
 import pytest
 from pyspark.sql import functions as F
 
-from sievemill.functions.suffixes import NONE
+from sievemill.functions.suffixes import NONE, finder, registrable, suffix_rules
 from sievemill.operators import dom, pages, structure, texts
 from sievemill.operators.dom import parse, tree
 from sievemill.operators.pages import analyze_pages
@@ -261,3 +262,19 @@ def test_normal_text_is_that_of_the_whole(spark):
     got = parse(spark.createDataFrame([(LOGIN, html)], "url string, html string"))
     row = got.select(texts.visible_text(F.col("dom")).alias("v"), texts.normal_text(F.col("dom")).alias("n")).first()
     assert row["n"] == " ".join(unicodedata.normalize("NFKC", row["v"]).split()) != row["v"]
+
+
+def test_plain_references_are_those_of_urljoin():
+    rules = suffix_rules()
+    bases = [LOGIN, "HTTPS://A.Example.co.uk:80/x/y?q#f", "http://[bad", "", "mailto:a@b.com", "//h.org/x", "https://u@h.com"]
+    refs = ["/", "/a", "/a/", "//b.org", "//", "/a//b", "/a/../b", "/a;b", "/a?b", "https://B.org", "http://b.org/", "https://b.org/a/../b", "HTTP://b.org/x", "https://b.org/x?", "https://", "", "#t", "tel:+1", "http://[", "/a\tb", "/é"]
+    for base in bases:
+        resolved = dom.resolver(base, finder(rules))
+        for ref in refs:
+            try:
+                want = urljoin(base, ref)
+                urlsplit(want)
+                want = want, registrable(want, rules)
+            except ValueError:
+                want = ref, NONE
+            assert resolved(ref) == want
