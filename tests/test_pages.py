@@ -7,11 +7,12 @@ from urllib.parse import urljoin, urlsplit
 import pytest
 from pyspark.sql import functions as F
 
+from sievemill.functions import text
 from sievemill.functions.suffixes import NONE, finder, registrable, suffix_rules
-from sievemill.operators import dom, pages, structure, texts
+from sievemill.operators import dom, pages, payloads as payload_rows, structure, texts
 from sievemill.operators.dom import parse, tree
 from sievemill.operators.pages import analyze_pages
-from sievemill.operators.payloads import payloads
+from sievemill.operators.payloads import inventory, payloads
 from sievemill.plans.analysis import analyze_site
 
 LOGIN = "https://example.com/login"
@@ -278,3 +279,17 @@ def test_plain_references_are_those_of_urljoin():
             except ValueError:
                 want = ref, NONE
             assert resolved(ref) == want
+
+
+def test_inventory_counts_payloads_and_writes_none(site, monkeypatch):
+    found = payloads(site[0], "home_domain").groupBy("site", "artifact_type").agg(F.count(F.lit(1)).alias("n"))
+    want = sorted(found.collect())
+    monkeypatch.setattr(payload_rows, "written", None)
+    assert sorted(inventory(site[0]).collect()) == want
+    assert sorted(inventory(site[0], "home_domain", "text_chunk").collect()) == [r for r in want if r["artifact_type"] != "text_chunk"]
+
+
+def test_text_is_put_in_lower_case_once_a_lexicon(spark):
+    got = spark.createDataFrame([("İSTANBUL: Act NOW, PASSWORD",)], "t string").select(text.signals(F.col("t")).alias("s"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("lower(t") <= len(text.LEXICONS)
+    assert got.select("s.urgency_hits", "s.credential_hits").first() == (["act now"], ["password"])
